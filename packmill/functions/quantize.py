@@ -64,7 +64,7 @@ def q4_pack(q: Column, size: int = GROUP) -> Column:
     """The codes of a q4() struct as bytes (0 to 255), the earlier code in the low half, padded with 8 to whole groups."""
     short = F.pmod(-F.size(q["codes"]), F.lit(size))
     codes = F.concat(q["codes"], F.array_repeat(F.lit(8), short))
-    return F.transform(split_rows(codes, 2), lambda p: F.element_at(p, 1).bitwiseOR(F.shiftleft(F.element_at(p, 2), 4)))
+    return F.transform(split_rows(codes, 2), lambda p: F.element_at(p, 1).cast("int").bitwiseOR(F.shiftleft(F.element_at(p, 2).cast("int"), 4)))
 
 
 def q4_unpack(packed: Column, length: Column) -> Column:

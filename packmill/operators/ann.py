@@ -96,7 +96,7 @@ def ann_search(queries: DataFrame, cells: DataFrame, k: int, same_owner: bool =
     part = F.struct(F.col("owner") if same_owner else F.lit(0), F.pmod(F.xxhash64("cell_id"), F.lit(shards)))
     c = cells.select(F.xxhash64(part).alias("part"), "cell_id", "owner", F.col("key").cast("array<double>").alias("key"))
     q = queries.select("query_id", F.col("owner").alias("q_owner"), F.col("key").cast("array<double>").alias("q"))
-    parts = c.select("part", "owner").distinct() if same_owner else c.select("part").distinct()
+    parts = (c.select(F.col("part").alias("p"), "owner") if same_owner else c.select(F.col("part").alias("p"))).distinct()
     asked = q.join(parts, F.col("q_owner") == F.col("owner")).drop("owner") if same_owner else q.crossJoin(parts)
     beam_width = width or 4 * max(k, DEGREE)
 
@@ -115,7 +115,7 @@ def ann_search(queries: DataFrame, cells: DataFrame, k: int, same_owner: bool =
             out += hit[:k]
         return pd.DataFrame(out, columns=names)
 
-    found = asked.groupBy("part").cogroup(c.groupBy("part")).applyInPandas(work, "query_id bigint, cell_id bigint, owner bigint, score double")
+    found = asked.groupBy("p").cogroup(c.groupBy("part")).applyInPandas(work, "query_id bigint, cell_id bigint, owner bigint, score double")
     return top(found, ["query_id"], k).select("query_id", "rank", "cell_id", "owner", "score")
 
 

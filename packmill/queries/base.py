@@ -97,8 +97,8 @@ def bench_rows(spark: SparkSession, d: str) -> DataFrame:
 
 CELLS = "cells AS (SELECT vec_id AS cell_id, label::BIGINT AS owner, CAST(embedding AS DOUBLE[]) AS key FROM embeddings)"
 MCELLS = "mcells AS (SELECT vec_id // 5 AS cell_id, arg_min(label, vec_id)::BIGINT AS owner, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS tokens FROM embeddings GROUP BY 1)"
-TOKENS = "tok AS (SELECT vec_id // 5 AS cell_id, vec_id % 5 AS at, CAST(embedding AS DOUBLE[]) AS t FROM embeddings)"
-DOTS = f"{MCELLS}, {TOKENS}, dots AS (SELECT a.cell_id AS query_id, a.at AS q_at, b.cell_id, b.at AS c_at, list_inner_product(a.t, b.t) / sqrt(len(a.t)::DOUBLE) AS s FROM tok a CROSS JOIN tok b)"
+TOKENS = "tok AS (SELECT vec_id // 5 AS cell_id, vec_id % 5 AS tok_at, CAST(embedding AS DOUBLE[]) AS t FROM embeddings)"
+DOTS = f"{MCELLS}, {TOKENS}, dots AS (SELECT a.cell_id AS query_id, a.tok_at AS q_at, b.cell_id, b.tok_at AS c_at, list_inner_product(a.t, b.t) / sqrt(len(a.t)::DOUBLE) AS s FROM tok a CROSS JOIN tok b)"
 TOP5 = f"{DOTS}, ranked5 AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell_id ORDER BY s DESC) AS r FROM dots), scores AS (SELECT query_id, cell_id, round(avg(s), 6) AS score FROM ranked5 WHERE r <= 5 GROUP BY ALL)"
 _TIER = "CASE WHEN up = 2 AND imp < 60 THEN CASE WHEN imp < 35 THEN 0 ELSE 1 END WHEN up = 1 AND imp < 35 THEN 0 ELSE up END"
 _UP = "CASE WHEN imp >= 85 THEN 2 WHEN imp >= 65 THEN greatest(tier, 1) ELSE tier END"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packmill.functions import vectors as V
 from packmill.operators import ann, packs as P, refine, retrieval as R
-from packmill.operators.graph import links
 from packmill.queries.base import CELLS, DOTS, EDGES, LINKS, MCELLS, PACKS, TOKENS, TOP5, as_queries, cells, mcells, pack_cells, pack_edges, packs, query, texts
 
 K = 5
@@ -194,7 +193,7 @@ def first_of_pack(spark, d):
 # Refinement
 
 
-_CENTER = f"{MCELLS}, {TOKENS}, mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(t) AS x, generate_subscripts(t, 1) AS i FROM tok) GROUP BY i)), ctok AS (SELECT cell_id, at, list_transform(list_zip(t, mu), lambda z: z[1] - z[2]) AS t FROM tok, mu)"
+_CENTER = f"{MCELLS}, {TOKENS}, mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(t) AS x, generate_subscripts(t, 1) AS i FROM tok) GROUP BY i)), ctok AS (SELECT cell_id, tok_at, list_transform(list_zip(t, mu), lambda z: z[1] - z[2]) AS t FROM tok, mu)"
 
 
 @query("R18_centered", f"WITH {_CENTER}, dots AS (SELECT a.cell_id AS query_id, b.cell_id, list_inner_product(a.t, b.t) / sqrt(len(a.t)::DOUBLE) AS s FROM ctok a JOIN ctok b ON a.cell_id <> b.cell_id), r5 AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell_id ORDER BY s DESC) AS r FROM dots), scores AS (SELECT query_id, cell_id, round(avg(s), 6) AS score FROM r5 WHERE r <= 5 GROUP BY ALL) {_top('scores')}")
@@ -206,14 +205,14 @@ def centered(spark, d):
 _FIRST = f"{TOP5}, first_ AS (SELECT query_id, cell_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS rank FROM scores WHERE query_id <> cell_id), cen AS (SELECT query_id, list(m ORDER BY i) AS c FROM (SELECT query_id, i, avg(x) AS m FROM (SELECT f.query_id, unnest(t.t) AS x, generate_subscripts(t.t, 1) AS i FROM first_ f JOIN tok t ON t.cell_id = f.cell_id WHERE f.rank <= 3) GROUP BY query_id, i) GROUP BY query_id)"
 
 
-@query("A8_feedback_centroid", f"WITH {_FIRST} SELECT query_id, list_transform(c, lambda x: round(x, 6)) AS centroid FROM cen")
+@query("A8_feedback_centroid", f"WITH {_FIRST} SELECT query_id, generate_subscripts(c, 1) - 1 AS i, round(unnest(c), 6) + 0.0::DOUBLE AS x FROM cen")
 def centroid(spark, d):
     c = mcells(spark, d)
     got = refine.feedback_centroid(R.search(as_queries(c), c, K, same_owner=False, skip_self=True), c)
-    return got.select("query_id", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return got.select("query_id", F.posexplode("centroid").alias("i", "x")).select("query_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("F16_feedback_search", f"WITH {_FIRST}, qtok AS (SELECT t.cell_id AS query_id, t.at, list_transform(list_zip(t.t, cen.c), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS q FROM tok t JOIN cen ON cen.query_id = t.cell_id), d2 AS (SELECT a.query_id, b.cell_id, list_inner_product(a.q, b.t) / sqrt(len(b.t)::DOUBLE) AS s FROM qtok a JOIN tok b ON a.query_id <> b.cell_id), r52 AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell_id ORDER BY s DESC) AS r FROM d2), s2 AS (SELECT query_id, cell_id, round(avg(s), 6) AS score FROM r52 WHERE r <= 5 GROUP BY ALL) {_top('s2')}")
+@query("F16_feedback_search", f"WITH {_FIRST}, qtok AS (SELECT t.cell_id AS query_id, t.tok_at, list_transform(list_zip(t.t, cen.c), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS q FROM tok t JOIN cen ON cen.query_id = t.cell_id), d2 AS (SELECT a.query_id, b.cell_id, list_inner_product(a.q, b.t) / sqrt(len(b.t)::DOUBLE) AS s FROM qtok a JOIN tok b ON a.query_id <> b.cell_id), r52 AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell_id ORDER BY s DESC) AS r FROM d2), s2 AS (SELECT query_id, cell_id, round(avg(s), 6) AS score FROM r52 WHERE r <= 5 GROUP BY ALL) {_top('s2')}")
 def feedback(spark, d):
     c = mcells(spark, d)
     return _out(refine.refine("latent_prf", as_queries(c), c, K, same_owner=False, skip_self=True))
@@ -282,7 +281,7 @@ def pair_trace(spark, d):
     return best.select("query_id", "cell_id", (-F.col("b.q")).alias("q_at"), (-F.col("b.c")).alias("c_at"), F.col("b.score").alias("score"))
 
 
-@query("DX2_cosine_scores", f"WITH {_CENTER}, c AS (SELECT a.cell_id AS query_id, b.cell_id, a.at AS q_at, list_inner_product(a.t, b.t) / (greatest(sqrt(list_inner_product(a.t, a.t)), 1e-8::DOUBLE) * greatest(sqrt(list_inner_product(b.t, b.t)), 1e-8::DOUBLE)) AS s FROM tok a CROSS JOIN tok b), m AS (SELECT query_id, cell_id, q_at, max(s) AS s FROM c GROUP BY ALL), z AS (SELECT a.cell_id AS query_id, b.cell_id, max(list_inner_product(a.t, b.t) / sqrt(len(a.t)::DOUBLE)) AS s FROM ctok a CROSS JOIN ctok b GROUP BY ALL) SELECT m.query_id, m.cell_id, round(max(m.s), 6) AS cosine_max, round(sum(m.s), 6) AS cosine_sum, round(any_value(z.s), 6) AS centered_max FROM m JOIN z ON z.query_id = m.query_id AND z.cell_id = m.cell_id GROUP BY ALL")
+@query("DX2_cosine_scores", f"WITH {_CENTER}, c AS (SELECT a.cell_id AS query_id, b.cell_id, a.tok_at AS q_at, list_inner_product(a.t, b.t) / (greatest(sqrt(list_inner_product(a.t, a.t)), 1e-8::DOUBLE) * greatest(sqrt(list_inner_product(b.t, b.t)), 1e-8::DOUBLE)) AS s FROM tok a CROSS JOIN tok b), m AS (SELECT query_id, cell_id, q_at, max(s) AS s FROM c GROUP BY ALL), z AS (SELECT a.cell_id AS query_id, b.cell_id, max(list_inner_product(a.t, b.t) / sqrt(len(a.t)::DOUBLE)) AS s FROM ctok a CROSS JOIN ctok b GROUP BY ALL) SELECT m.query_id, m.cell_id, round(max(m.s), 6) AS cosine_max, round(sum(m.s), 6) AS cosine_sum, round(any_value(z.s), 6) AS centered_max FROM m JOIN z ON z.query_id = m.query_id AND z.cell_id = m.cell_id GROUP BY ALL")
 def cosine_scores(spark, d):
     c = mcells(spark, d)
     mean = refine.mean_vector(refine.tokens_of(c))
@@ -306,5 +305,3 @@ def dense_rank(spark, d):
     s = pair.select("query_id", "cell_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("s"))
     return s.select("query_id", "cell_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cell_id")).cast("long").alias("rank"))
 
-
-__all__ = ["DataFrame", "links", "MCELLS"]

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: Broadcast only what is at most this large; each operator has another way beyond it.
 BROADCAST_BYTES = 64 << 20
 
+#: Bytes of an Arrow batch that goes to a Python worker: what a worker holds follows from it, not from how long texts are.
+BATCH_BYTES = 4 << 20
+_MOST = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -61,6 +65,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_BYTES (a smaller setting stays): long texts then come a few at a time."""
+    spark = df.sparkSession
+    if int("".join(c for c in spark.conf.get(_MOST) if c.isdigit())) > BATCH_BYTES:
+        spark.conf.set(_MOST, BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

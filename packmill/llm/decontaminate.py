@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import BROADCAST_BYTES, cached, fresh, table
+from packmill.llm.common import BROADCAST_BYTES, cached, fresh, small_batches, table
 from packmill.llm.text import Words, chunks
 
 #: Words that a match has at least, unless the item is shorter.
@@ -92,7 +92,7 @@ class Automaton:
 
 def _sides(benchmark: DataFrame, limit: int) -> list:
     """The items as lists for broadcasting, each of at most about `limit` bytes: one automaton, or several scans if the benchmark is that large."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("item_id is not null and text is not null")
+    items = small_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = -(-size // limit) or 1
     sides = []

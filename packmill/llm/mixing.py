@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import fresh, table, unit_hash, written
+from packmill.llm.common import fresh, small_batches, table, unit_hash, written
 from packmill.llm.tokens import VOCABULARY, encoding
 
 #: Share of each source in the mix; sources not named have weight DEFAULT_WEIGHT.
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDG
     one; between documents of equal draw the order of doc_id and text decides; an empty table gives none.
     """
     n, rank, take = (fresh(docs, c) for c in (tokens or "n_tokens", "rank", "take"))
-    counted = written(docs.withColumn(n, token_counter(vocabulary)(F.col("text"))).filter(F.col(n) > 0), "counted")
+    counted = written(small_batches(docs).withColumn(n, token_counter(vocabulary)(F.col("text"))).filter(F.col(n) > 0), "counted")
     lengths = counted.groupBy(F.col("source").alias("s"), F.col(n).alias("n")).agg(F.count("*").alias("c"))
     lengths = written(lengths, "lengths")
     # one row for each source

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packmill.llm.common import BROADCAST_BYTES, cached, table, unit_hash, written
+from packmill.llm.common import BROADCAST_BYTES, cached, small_batches, table, unit_hash, written
 from packmill.llm.text import chunks
 
 ORDER = 5
@@ -226,7 +226,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hel
     said = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).filter("id is not null and q is not null").groupBy("id").agg((F.min("q") == 1).alias("good"))
     said = written(said, "good").filter("good")
     side = F.broadcast(said) if said.count() * 16 <= limit else said
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
     known = narrow.join(side, F.col("doc_id") == F.col("id"), "left").select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("good"))
     known = known.withColumn("train", F.col("good") & (unit_hash(F.lit("held out"), F.col("doc_id").cast("string")) >= held_out))
     found = written(known.select("text", "lang", "train").mapInArrow(_count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "grams")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import table, written
+from packmill.llm.common import small_batches, table, written
 from packmill.llm.text import Words, chunks, mix
 
 BITS = 128
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
     word; an empty table gives no rows. Columns other than doc_id and text are not read.
     """
     narrow = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprint(F.col("text")).alias("f")).filter("doc_id is not null and f is not null").select("doc_id", "f.hi", "f.lo"),
+        small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprint(F.col("text")).alias("f")).filter("doc_id is not null and f is not null").select("doc_id", "f.hi", "f.lo"),
         "fingerprints",
     )
     unique = written(narrow.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "unique")

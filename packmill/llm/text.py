@@ -14,7 +14,7 @@ import numpy as np
 #: Non-ASCII spaces and punctuation; they separate words as the ASCII ones do.
 MARKS = re.compile("[\u0080-©«-´¶-¹»-¿×÷ -⁯₠-⃏←-⯿⸀-⹿　-〄〈-〠〰︐-︟︰-﹯！-／：-＠［-｀｛-･﻿]")
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[0x80:] = True

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packmill.llm.common import new_dir, table, written
+from packmill.llm.common import new_dir, small_batches, table, written
 from packmill.llm.files import Attempt, open_input
 from packmill.llm.tokens import VOCABULARY, encoding
 
@@ -133,7 +133,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULA
         if writer is not None:
             writer.close()
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(work, "doc_id bigint, file string, frame bigint, n_tokens bigint, id_size int, checksum bigint"), "token-index")
+    return written(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(work, "doc_id bigint, file string, frame bigint, n_tokens bigint, id_size int, checksum bigint"), "token-index")
 
 
 def read(index: DataFrame) -> DataFrame:

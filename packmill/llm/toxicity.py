@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import BROADCAST_BYTES, fresh, table, unit_hash, written
+from packmill.llm.common import BROADCAST_BYTES, fresh, small_batches, table, unit_hash, written
 from packmill.llm.text import Words, chunks
 
 GRADES = 3
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     labels has doc_id and toxic (0 or 1); rows with a null in either, or that say both, are not used.
     At most max_per_class documents of each class are read, drawn by a hash of their doc_id.
     """
+    docs = small_batches(docs)
     said = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     said = said.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("id", "toxic")
     known = written(docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").join(said, "id", "left_semi").distinct().join(said, "id"), "labelled")

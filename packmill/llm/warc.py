@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packmill.llm.common import new_dir, table, written
+from packmill.llm.common import new_dir, small_batches, table, written
 from packmill.llm.files import Attempt, filesystem, open_input
 
 #: Bytes of a file that a task reads.
@@ -72,7 +72,7 @@ def write(pages: DataFrame, folder: str | None = None, roll: int = 1 << 30) -> D
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["file", "bytes", "records"])
 
-    return written(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(work, "file string, bytes bigint, records bigint"), "warc-files")
+    return written(small_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(work, "file string, bytes bigint, records bigint"), "warc-files")
 
 
 def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:

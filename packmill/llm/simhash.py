@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import small_batches, table, written
+from packmill.llm.common import fresh, small_batches, table, written
 from packmill.llm.text import Words, chunks, mix
 
 BITS = 128
@@ -99,8 +99,10 @@ def _fingerprint(text: pa.Array) -> pa.Array:
 
 
 def tables_for(n: int, radius: int = RADIUS, recall: float = RECALL, bucket: int = BUCKET) -> np.ndarray:
-    """(tables, width) bit positions for n fingerprints; seeded, so that any run draws the same."""
-    width = max(6, math.ceil(math.log2(max(1, n / bucket))))
+    """(tables, width) bit positions for n fingerprints; seeded, so that any run draws the same. Up to `bucket` of them are one block, compared whole."""
+    width = math.ceil(math.log2(max(1, n / bucket)))
+    if not width:
+        return np.zeros((1, 0), np.int64)
     meet = math.prod((BITS - radius - i) / (BITS - i) for i in range(width))
     count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
     rng = np.random.default_rng(20260101)
@@ -337,14 +339,15 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Of rows that repeat a doc_id one stays, whichever comes first. Rows with a null doc_id, or with a
     text that has no word, stay as they are.
     """
-    lost = written(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("lost_id")), "lost")
-    kept = docs.join(lost, docs["doc_id"].cast("long") == F.col("lost_id"), "left_anti")
-    ids = docs.select(F.col("doc_id").alias("again_id")).filter("again_id is not null").groupBy("again_id").agg(F.count("*").alias("n")).filter("n > 1").select("again_id")
+    lost_id, again_id = fresh(docs, "lost_id"), fresh(docs, "again_id")
+    lost = written(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(lost_id)), "lost")
+    kept = docs.join(lost, docs["doc_id"].cast("long") == F.col(lost_id), "left_anti")
+    ids = docs.select(F.col("doc_id").alias(again_id)).filter(F.col(again_id).isNotNull()).groupBy(again_id).agg(F.count("*").alias("n")).filter("n > 1").select(again_id)
     again = written(ids, "again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"] == F.col("again_id"), "left_anti")
-    return once.unionByName(kept.join(again, kept["doc_id"] == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(again, kept["doc_id"] == F.col(again_id), "left_anti")
+    return once.unionByName(kept.join(again, kept["doc_id"] == F.col(again_id), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

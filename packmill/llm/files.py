@@ -23,7 +23,7 @@ class Attempt:
         self.uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
         fs, path = filesystem(self.uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self._out = fs.open_output_stream(path)
+        self._out = fs.open_output_stream(path, compression=None)  # the default compresses by the name's ending
         self.size = 0
 
     def write(self, data: bytes) -> None:

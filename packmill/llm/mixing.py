@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import fresh, small_batches, table, unit_hash, written
+from packmill.llm.common import BROADCAST_BYTES, fresh, small_batches, table, unit_hash, written
 from packmill.llm.tokens import VOCABULARY, encoding
 
 #: Share of each source in the mix; sources not named have weight DEFAULT_WEIGHT.
@@ -28,6 +28,8 @@ DEFAULT_WEIGHT = 1.0
 BUDGET = 0.6
 #: Tokens of a source's target that are left for the dynamic programming.
 RESERVE = 1 << 14
+#: Bytes of a broadcast row of the cuts: source, length and key.
+CUT_BYTES = 128
 
 
 def token_counter(vocabulary: str = VOCABULARY):
@@ -102,10 +104,11 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDG
     budget is a number of tokens, or a share of all of them if it is a fraction up to 1. Cases: texts that
     are null, empty or have no token are never taken; a null source is a source of its own with the default
     weight; a source of weight 0 or less gives nothing; rows that repeat are counted and taken one by
-    one; between documents of equal draw the order of doc_id and text decides; an empty table gives none.
+    one; between documents of equal draw doc_id and then a hash of the text decide; an empty table gives none.
     """
-    n, rank, take = (fresh(docs, c) for c in (tokens or "n_tokens", "rank", "take"))
-    counted = written(small_batches(docs).withColumn(n, token_counter(vocabulary)(F.col("text"))).filter(F.col(n) > 0), "counted")
+    n, row, cut, s_, n_ = (fresh(docs, c) for c in (tokens or "n_tokens", "mix_row", "mix_cut", "mix_source", "mix_length"))
+    counted = small_batches(docs).withColumn(n, token_counter(vocabulary)(F.col("text"))).filter(F.col(n) > 0)
+    counted = written(counted.withColumn(row, F.monotonically_increasing_id()), "counted")
     lengths = counted.groupBy(F.col("source").alias("s"), F.col(n).alias("n")).agg(F.count("*").alias("c"))
     lengths = written(lengths, "lengths")
     # one row for each source
@@ -117,14 +120,21 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDG
         s = part["s"].iloc[0]
         part = part.sort_values("n")
         got = fit_budget(part["n"].to_numpy(), part["c"].to_numpy(), targets.get(None if pd.isna(s) else s, 0))
-        return pd.DataFrame({"s": part["s"], "n": part["n"], take: got})
+        return pd.DataFrame({"s": part["s"], "n": part["n"], "c": part["c"], "take": got})
 
-    plans = lengths.groupBy("s").applyInPandas(plan, f"s string, n bigint, `{take}` bigint").filter(F.col(take) > 0)
+    plans = written(lengths.groupBy("s").applyInPandas(plan, "s string, n bigint, c bigint, take bigint").filter("take > 0"), "plans")
     draw = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    order = Window.partitionBy("source", n).orderBy(draw, "doc_id", F.xxhash64("text"))
-    ranked = counted.withColumn(rank, F.row_number().over(order))
-    chosen = ranked.join(plans, F.col("source").eqNullSafe(F.col("s")) & (F.col(n) == plans["n"]) & (F.col(rank) <= F.col(take)), "left_semi").drop(rank)
-    return chosen if tokens else chosen.drop(n)
+    key = F.struct(draw.alias("draw"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col(row).alias("row"))
+    # where not all of a length are taken: the key of the last one that is. Texts stay where they are, only keys move
+    keys = counted.select(F.col("source").alias("s"), F.col(n).alias("n"), key.alias("key"))
+    wanted = plans.filter("take < c").select(F.col("s").alias("ps"), F.col("n").alias("pn"), "take")
+    keys = keys.join(wanted, F.col("s").eqNullSafe(F.col("ps")) & (F.col("n") == F.col("pn"))).select("s", "n", "take", "key")
+    last = keys.withColumn("rank", F.row_number().over(Window.partitionBy("s", "n").orderBy("key"))).filter("rank = take").select("s", "n", F.col("key").alias("cut"))
+    cuts = plans.filter("take = c").select("s", "n", F.lit(None).cast(last.schema["cut"].dataType).alias("cut")).unionByName(last)
+    cuts = written(cuts, "cuts").select(F.col("s").alias(s_), F.col("n").alias(n_), F.col("cut").alias(cut))
+    side = F.broadcast(cuts) if cuts.count() * CUT_BYTES <= BROADCAST_BYTES else cuts
+    chosen = counted.join(side, F.col("source").eqNullSafe(F.col(s_)) & (F.col(n) == F.col(n_))).filter(F.col(cut).isNull() | (key <= F.col(cut)))
+    return chosen.select(*docs.columns, *([n] if tokens else []))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

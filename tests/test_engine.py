@@ -21,7 +21,7 @@ def test_read_is_by_owner_and_governed(spark, engine):
     assert [r["pack_id"] for r in rows] == [3, 1] and rows[0]["text"] == "text 2"
     assert rows[0]["score"] > rows[1]["score"] == 0.0 or rows[1]["score"] < rows[0]["score"]
     assert engine.read_packs(q, 0).count() == 0
-    for mode in ("none", "mean_centered", "prf", "zca"):
+    for mode in ("none", "prf"):
         engine.set_refinement_mode(mode)
         assert engine.read_cells(q, 1).first()["cell_id"] in (1024, 3072)
     with pytest.raises(ValueError):

@@ -103,10 +103,10 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3) from counts of counts."""
     lang = F.shiftright("key", 8 * ORDER).alias("lang")
     n = counts.groupBy(lang).agg(*(F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)))
-    y = F.expr("n1 / (n1 + 2 * n2)")
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     out = {}
     for k in (1, 2, 3):
-        d = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        d = k - (k + 1) * F.try_divide(y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
         # where counts of counts are too few to estimate a discount, half of the count
         out[f"d{k}"] = F.when((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0) & (d > 0), F.least(d, F.lit(float(k)))).otherwise(k / 2)
     return n.select("lang", *(c.alias(name) for name, c in out.items()))

@@ -93,14 +93,13 @@ _POOLED = f"WITH {TOP5}, pooled AS (SELECT cell_id, list(m ORDER BY i) AS v FROM
 @query("R4_candidate_reduction", f"{_POOLED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS rank, cell_id, score FROM scores SEMI JOIN pre ON pre.query_id = scores.query_id AND pre.cell_id = scores.cell_id AND pre.r <= 20 QUALIFY rank <= {K}")
 def candidate_reduction(spark, d):
     c = mcells(spark, d)
-    q = as_queries(c)
-    return _out(R.rerank(R.prefilter(q, c, 20, same_owner=False, skip_self=True), q, c, K))
+    return _out(R.two_phase(as_queries(c), c, K, c.count(), same_owner=False, skip_self=True))
 
 
 @query("K5_candidate_limit", f"{_POOLED} SELECT query_id, r AS rank, cell_id FROM pre WHERE r <= 20")
 def candidate_limit(spark, d):
     c = mcells(spark, d)
-    return R.prefilter(as_queries(c), c, 20, same_owner=False, skip_self=True).select("query_id", F.col("rank").cast("long").alias("rank"), "cell_id")
+    return R.prefilter(as_queries(c), c, R.candidates_for(c.count(), K), same_owner=False, skip_self=True).select("query_id", F.col("rank").cast("long").alias("rank"), "cell_id")
 
 
 @query("R14_read_tokens", f"WITH {TOP5}, own AS (SELECT s.*, a.owner AS qo, b.owner FROM scores s JOIN mcells a ON a.cell_id = s.query_id JOIN mcells b ON b.cell_id = s.cell_id) {_top('own', where='qo = owner')}")

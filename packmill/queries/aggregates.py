@@ -88,7 +88,7 @@ _GOLD = "gold AS (SELECT item_id AS query_id, i AS gold_no, lower(trim(s)) AS g
 
 
 def gold_hits(spark, d) -> tuple[DataFrame, DataFrame]:
-    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents").filter("text is not null and lang = 'en'").select("doc_id", F.col("text").alias("doc"))
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents").filter("text is not null").select("doc_id", F.col("text").alias("doc"))
     gold = b.select(F.col("item_id").alias("query_id"), F.posexplode(F.split("text", "\\. ")).alias("gold_no", "text"))
     order = Window.partitionBy("query_id").orderBy((F.col("doc_id") * 7 + F.col("query_id")) % 101, "doc_id")
     res = F.broadcast(b.select(F.col("item_id").alias("query_id"))).crossJoin(docs).select("query_id", F.row_number().over(order).alias("rank"), F.col("doc").alias("text"))

@@ -26,3 +26,9 @@ def test_candidates_follow_the_rule(spark, duck, name, cut):
     """Of up to 512 cells all are candidates, not 20."""
     got, want = both(spark, duck, name, without(name, cut))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["J13_gold_containment", "A17_A18_recall_ndcg"])
+def test_gold_is_looked_for_in_all_languages(spark, duck, name):
+    got, want = both(spark, duck, name, without(name, " AND d.lang = 'en'"))
+    assert got == want

@@ -7,6 +7,8 @@ document adds up the log probabilities of its n-grams. If the resolved table is
 (BROADCAST_BYTES) workers hold it and texts do not move; otherwise the documents' own n-gram counts
 are joined with it shard by shard. Either way gives the same sums. A document is kept if its
 perplexity is at most a quantile, for its language, of labelled good documents that the model has not seen.
+A language with few good documents holds none out: all of them train its model, and its quantile is over
+all of them too, each scored by a model of the same language without the documents of its fold.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packmill.llm.common import BROADCAST_BYTES, cached, small_batches, table, unit_hash, written
@@ -26,8 +28,9 @@ ORDER = 5
 QUANTILE = 0.995
 #: Share of the good documents that are held out to find the thresholds.
 HELD_OUT = 0.1
-#: A language with fewer held-out documents takes the quantile over all languages.
+#: A language that would hold out fewer documents takes its quantile over all its good ones, by folds.
 LEAST_HELD_OUT = 50
+FOLDS = 10
 _LANG_BITS = 23
 _GRAM = np.int64((1 << 8 * ORDER) - 1)
 #: Distinct n-grams that a counting task holds before it hands them on.
@@ -117,7 +120,7 @@ def _discounted(c: str, out: str) -> Column:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """(key, logp) for every n-gram of `found` (key, c), c being its count in the training texts.
+    """(key, logp) for the n-grams of `found` (key, c, asked) that are asked for, c being the count in the training texts.
 
     Joins from the shortest order to the longest: p_n = max(c - D(c), 0) / total + gamma * p_(n-1), with
     continuation counts below the highest order and 1/256 below order 1.
@@ -127,7 +130,8 @@ def resolve(found: DataFrame) -> DataFrame:
         counts[n] = written(counts[n + 1].groupBy(_suffix(F.col("key"), n).alias("key")).agg(F.count("*").alias("c")), f"counts{n}")
     p = None
     for n in range(1, ORDER + 1):
-        keys = found.select(_suffix(F.col("key"), n).alias("key")).distinct() if n < ORDER else found.select("key")
+        asked = found.filter("asked")
+        keys = asked.select(_suffix(F.col("key"), n).alias("key")).distinct() if n < ORDER else asked.select("key")
         d = _discounts(counts[n])
         seen = counts[n].join(F.broadcast(d), F.shiftright("key", 8 * ORDER) == d["lang"]) if n else None
         part = seen.select("key", "c", ((F.col("c") - _discounted("c", "d"))).alias("rest"), _discounted("c", "d"))
@@ -214,33 +218,65 @@ def _sums_by_join(docs: DataFrame, resolved: DataFrame) -> DataFrame:
     return met.groupBy("uid", "doc_id", "lang", "good", "train").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.col("c") * F.col("logp").cast("float").cast("double")), F.lit(0.0)).alias("total")).drop("uid")
 
 
+def _folds(known: DataFrame, held_out: float) -> DataFrame:
+    """(f_lang, f_id, fold) of the good documents of languages that would hold out too few; up to FOLDS documents have a fold each."""
+    good = known.filter("good and octet_length(text) > 0").select("lang", "doc_id", _held(held_out).alias("held"))
+    few = good.groupBy(F.col("lang").alias("l")).agg(F.count_if("held").alias("c")).filter(F.col("c") < LEAST_HELD_OUT)
+    ids = good.join(F.broadcast(few), F.col("lang").eqNullSafe(F.col("l"))).select(F.col("lang").alias("f_lang"), F.col("doc_id").alias("f_id")).distinct()
+    order = Window.partitionBy("f_lang").orderBy(unit_hash(F.lit("fold"), F.col("f_id").cast("string")), "f_id")
+    return ids.withColumn("fold", (F.row_number().over(order) - 1) % FOLDS)
+
+
+def _held(held_out: float) -> Column:
+    return unit_hash(F.lit("held out"), F.col("doc_id").cast("string")) < held_out
+
+
+def _fold_lang(fold: Column) -> Column:
+    """A language of its own for the model without a fold; its third character on is the language, if it has one."""
+    return F.concat(fold.cast("string"), F.when(F.col("lang").isNull(), "-").otherwise("+"), F.coalesce("lang", F.lit("")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held_out: float = HELD_OUT, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) for every row of docs.
 
     labels has doc_id and quality (1 is good); a document with a good label and no other trains the model,
-    or helps to find the thresholds if a hash of its doc_id holds it out. Cases: a null or empty text has
+    or helps to find the thresholds if a hash of its doc_id holds it out; in a language where fewer than
+    LEAST_HELD_OUT would be held out it does both, by folds. Cases: a null or empty text has
     a null perplexity and is not kept; a null lang is a language of its own; a null doc_id is scored, and
-    labels of one are not used; repeated rows are counted and scored one by one; without any good
-    document perplexity is that of 256 equally likely bytes and all texts are kept; empty docs give no rows.
+    labels of one are not used; repeated rows are counted and scored one by one; in a language without any good
+    document perplexity is that of 256 equally likely bytes and all texts are kept, as are nearly all where there
+    is one good document only, which a model without it finds as unlikely; empty docs give no rows.
     """
     said = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).filter("id is not null and q is not null").groupBy("id").agg((F.min("q") == 1).alias("good"))
     said = written(said, "good").filter("good")
     side = F.broadcast(said) if said.count() * 16 <= limit else said
     narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
     known = narrow.join(side, F.col("doc_id") == F.col("id"), "left").select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    known = known.withColumn("train", F.col("good") & (unit_hash(F.lit("held out"), F.col("doc_id").cast("string")) >= held_out))
-    found = written(known.select("text", "lang", "train").mapInArrow(_count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "grams")
+    folds = written(_folds(known, held_out), "folds")
+    n_folds = folds.count()
+    folded = known.join(F.broadcast(folds) if n_folds * 64 <= limit else folds, F.col("lang").eqNullSafe(F.col("f_lang")) & (F.col("doc_id") == F.col("f_id")), "left").drop("f_lang", "f_id")
+    known = folded.select("doc_id", "lang", "text", "good", (F.col("good") & (F.col("fold").isNotNull() | ~_held(held_out))).alias("train"))
+    counted = known.select("text", "lang", "train").mapInArrow(_count, "key bigint, c bigint").withColumn("asked", F.lit(True))
+    if n_folds:
+        again = folded.filter("good and fold is not null")
+        others = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).filter("other <> fold")
+        others = others.select("text", _fold_lang(F.col("other")).alias("lang"), F.lit(True).alias("train"))
+        unseen = again.select("doc_id", _fold_lang(F.col("fold")).alias("lang"), "text", "good", F.lit(None).cast("boolean").alias("train"))
+        counted = counted.union(others.mapInArrow(_count, "key bigint, c bigint").withColumn("asked", F.lit(False)))
+        counted = counted.union(unseen.select("text", "lang", "train").mapInArrow(_count, "key bigint, c bigint").withColumn("asked", F.lit(True)))
+        known = known.union(unseen)
+    found = written(counted.groupBy("key").agg(F.sum("c").alias("c"), F.max("asked").alias("asked")), "grams")
     resolved = written(resolve(found), "resolved")
     small = resolved.count() * 24 <= limit
     sums = (_sums_in_workers if small else _sums_by_join)(known, resolved)
     scored = written(sums.select("doc_id", "lang", "good", "train", F.col("n").alias("n_bytes"), F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity")), "scored")
-    held = scored.filter("good and not train and perplexity is not null")
+    unseen = scored.filter("train is null").withColumn("lang", F.when(F.substring("lang", 2, 1) == "+", F.expr("substring(lang, 3)")))
+    held = scored.join(F.broadcast(folds.select("f_lang").distinct()), F.col("lang").eqNullSafe(F.col("f_lang")), "left_anti").filter("good and not train").union(unseen).filter("perplexity is not null")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(1_000_000))
-    by_lang = held.groupBy(F.col("lang").alias("l")).agg(cut.alias("t"), F.count("*").alias("c")).filter(F.col("c") >= LEAST_HELD_OUT)
-    overall = held.agg(cut.alias("all_t"))
-    out = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(overall))
-    threshold = F.coalesce("t", "all_t", F.lit(256.0))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold + 1e-9, F.lit(False)).alias("kept"))
+    by_lang = held.groupBy(F.col("lang").alias("l")).agg(cut.alias("t"))
+    out = scored.filter("train is not null").join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l")), "left")
+    kept = F.col("perplexity").isNotNull() & (F.col("t").isNull() | (F.col("perplexity") <= F.col("t") + 1e-9))
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", F.coalesce("t", F.lit(256.0)).alias("threshold"), kept.alias("kept"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,20 @@ def test_all_cases(spark):
     assert all(r["perplexity"] is None or r["perplexity"] == pytest.approx(256) for r in none)
     assert sorted(r["kept"] for r in none) == [False, False] + [True] * 5
     assert Q.classify(docs_of(spark, []), labels).count() == 0
+
+
+def test_small_languages_have_thresholds_of_their_own(spark):
+    """30 good documents of a language that no other is like, beside many of another; and languages with one good document or none."""
+    rng = random.Random(6)
+    odd = ["".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω ") for _ in range(200)) for _ in range(60)]
+    docs = [(i, t, "en", "s") for i, t in enumerate(small(5, 600))] + [(1000 + i, t, "el", "s") for i, t in enumerate(odd)]
+    docs += [(2000, "one good text", "xx", "s"), (2001, "another text", "xx", "s"), (3000, "no good text", "yy", "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(600), *range(1000, 1030), 2000]], LABELS)
+    got = {r["doc_id"]: r for r in Q.classify(docs_of(spark, docs), labels).collect()}
+    assert len(got) == len(docs)
+    # by hand: each good document by a model of the others that are not in its fold; with 30 documents folds are of 3
+    unseen = [min(perplexity(model([t for t in odd[:30] if t != x]), x), 1e9) for x in odd[:30]]
+    assert got[1000]["threshold"] == pytest.approx(max(unseen), rel=0.1) and got[1000]["threshold"] > 2 * got[0]["threshold"]
+    assert np.mean([got[i]["kept"] for i in range(1030, 1060)]) >= 0.8
+    assert got[2001]["threshold"] == pytest.approx(256) and got[2001]["kept"]
+    assert got[3000]["threshold"] == pytest.approx(256) and got[3000]["kept"]

@@ -24,8 +24,8 @@ from packmill.llm.files import Attempt, filesystem, open_input
 
 #: Bytes of a file that a task reads.
 RANGE = 32 << 20
-#: A header that is longer is not taken for one.
-MAX_HEADER = 1 << 16
+#: Bytes read at first for a header; a longer one is read on until its end.
+HEADER = 1 << 16
 _MAGIC = b"WARC/1.0\r\n"
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
 _FIELD = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
@@ -83,22 +83,45 @@ def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
 
 def _header(data: bytes, at: int) -> tuple[int, int] | None:
     """(start of the payload, its length) of the header at `at`, if a whole header is there."""
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    stop = data.find(b"\r\n\r\n", at)
     found = _LENGTH.search(data, at, stop + 2) if stop >= 0 else None
     return (stop + 4, int(found[1])) if found else None
 
 
+def _whole_header(source, data: bytes, base: int, at: int, total: int) -> bytes:
+    """`data`, which stands at `base` of the file, with what follows up to the end of the header at `at`, or to the file's end."""
+    parts, have, seen = [data], len(data), data.find(b"\r\n\r\n", at) >= 0
+    tail = data[-3:]
+    while not seen and base + have < total:
+        source.seek(base + have)
+        more = source.read(min(max(HEADER, have - at), total - base - have))
+        if not more:
+            break
+        seen = b"\r\n\r\n" in tail + more
+        parts.append(more)
+        have, tail = have + len(more), (tail + more)[-3:]
+    return b"".join(parts) if len(parts) > 1 else data
+
+
 def _candidates(source, first: int, size: int, total: int):
     """(offsets, successors) of all candidates of a range, by offset. A successor beyond the file is -1."""
     source.seek(first)
-    data = source.read(min(size + MAX_HEADER + len(_MAGIC), total - first))
+    data = source.read(min(size + HEADER + len(_MAGIC), total - first))
     starts, nexts, at = [], [], data.find(_MAGIC)
+    stop, found = -1, None  # of the header at `at`; kept while they hold, so that text full of magics is scanned once
     while 0 <= at < size:
-        head = _header(data, at)
-        if head:
-            stop = first + head[0] + head[1] + 4
+        if stop < at:
+            data = _whole_header(source, data, first, at, total)
+            stop = data.find(b"\r\n\r\n", at)
+            if stop < 0:
+                break
+            found = _LENGTH.search(data, at, stop + 2)
+        elif found and found.start() < at:
+            found = _LENGTH.search(data, at, stop + 2)
+        if found:
+            after = first + stop + 4 + int(found[1]) + 4
             starts.append(first + at)
-            nexts.append(stop if stop <= total else -1)
+            nexts.append(after if after <= total else -1)
         at = data.find(_MAGIC, at + 1)
     return np.array(starts, np.int64), np.array(nexts, np.int64)
 
@@ -156,9 +179,11 @@ def read(files: DataFrame, size: int = RANGE) -> DataFrame:
                     source.seek(at)
                     data, base = source.read(first + size - at), at
                     while at < min(first + size, total):
-                        if at - base + MAX_HEADER > len(data) and base + len(data) < total:
+                        if at - base + HEADER > len(data) and base + len(data) < total:
                             source.seek(at)
-                            data, base = source.read(max(MAX_HEADER, first + size - at)), at
+                            data, base = source.read(max(HEADER, first + size - at)), at
+                        if data.startswith(_MAGIC, at - base):
+                            data = _whole_header(source, data, base, at - base, total)
                         head = _header(data, at - base) if data.startswith(_MAGIC, at - base) else None
                         if head is None or base + head[0] + head[1] + 4 > total:
                             break

@@ -64,3 +64,10 @@ def test_damaged_files(spark):
 def test_sql(spark, duck):
     got, want = same(W.op8_warc(spark, "/root/testdata/sf0.001"), duck.sql(W.OP8_SQL))
     assert got == want
+
+
+def test_very_long_urls(spark):
+    """Headers beyond what is read at first are read to their end, and the records after them are there."""
+    pages = spark.createDataFrame([(1, "http://a", "one"), (2, "http://b/" + "x" * 300_000, "two" * 100), (3, "é" * 50_000, None), (4, "http://c", "four"), (5, "y" * 70_000, FAKE), (6, "u", "six")], PAGES).coalesce(1)
+    for size in (50_000, W.RANGE):
+        assert whole(W.pages_of(W.read(W.write(pages), size))) == whole(pages)

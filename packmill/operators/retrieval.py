@@ -150,7 +150,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, cells: DataFrame, k: int,
 
 
 def two_phase(queries: DataFrame, cells: DataFrame, k: int, count: int, same_owner: bool = True, skip_self: bool = False) -> DataFrame:
-    """Top-n-mean over the prefilter's candidates; over all cells where there are few."""
+    """Top-n-mean over the prefilter's candidates, so approximate; exact, over all cells, up to PREFILTER_ABOVE. search() is exact at any size."""
     keep = candidates_for(count, k)
     if keep >= count:
         return search(queries, cells, k, same_owner=same_owner, skip_self=skip_self)

@@ -105,7 +105,7 @@ def candidate_limit(spark, d):
 @query("R14_read_tokens", f"WITH {TOP5}, own AS (SELECT s.*, a.owner AS qo, b.owner FROM scores s JOIN mcells a ON a.cell_id = s.query_id JOIN mcells b ON b.cell_id = s.cell_id) {_top('own', where='qo = owner')}")
 def read_tokens(spark, d):
     c = mcells(spark, d)
-    return _out(R.two_phase(as_queries(c), c, K, c.count()))
+    return _out(R.search(as_queries(c), c, K))
 
 
 @query("WN2_top_k_hof", f"{_PLAIN} {_top('scores', 3)}")

@@ -1,8 +1,11 @@
 """Queries whose SQL keeps a cut that they do not have: compared with the SQL without the cut, on the small tables."""
 
+import numpy as np
 import pytest
 
+from packmill.operators import ann, retrieval as R
 from packmill.queries import QUERIES, SQL
+from packmill.queries.base import as_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,27 @@ def test_candidates_follow_the_rule(spark, duck, name, cut):
 def test_gold_is_looked_for_in_all_languages(spark, duck, name):
     got, want = both(spark, duck, name, without(name, " AND d.lang = 'en'"))
     assert got == want
+
+
+def test_read_tokens_is_exact_beyond_the_prefilter(spark, tmp_path):
+    """2000 cells of one owner, whose mean vectors say little of their pairs; each query's best 5 are those of all pairs."""
+    x = np.random.default_rng(1).normal(size=(2000, 5, 64)).round(4)
+    rows = [(c * 5 + t, 0, x[c, t].tolist()) for c in range(len(x)) for t in range(5)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query_id"], r["cell_id"]) for r in QUERIES["R14_read_tokens"](spark, str(tmp_path)).filter("query_id % 50 = 0").collect()}
+    s = np.einsum("qid,cjd->qcij", x[::50], x).reshape(40, 2000, 25) / np.sqrt(x.shape[2])
+    score = np.sort(s, axis=2)[:, :, -5:].mean(2).round(6)
+    want = {(q * 50, int(c)) for q in range(40) for c in np.argsort(-score[q], kind="stable")[:5]}
+    assert len(got & want) / len(want) >= 0.99
+
+
+def test_planned_search_beyond_its_threshold(spark):
+    """Recall of the graphs on 10 500 cells against all pairs."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 10_500)] + rng.normal(size=(10_500, 64))
+    cells = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "cell_id bigint, owner bigint, key array<double>")
+    q = as_queries(cells.filter("cell_id % 100 = 0"))
+    pairs = lambda df: {(r["query_id"], r["cell_id"]) for r in df.collect()}
+    exact, found = pairs(R.brute_force(q, cells, 5, skip_self=True)), pairs(ann.planned(q, cells, 5, skip_self=True))
+    print("recall", len(exact & found) / len(exact))
+    assert len(exact & found) / len(exact) >= 0.9

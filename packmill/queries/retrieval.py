@@ -247,13 +247,14 @@ def pruned(spark, d):
     import pandas as pd
     import numpy as np
 
+    keep = ann.prune  # the function alone travels, not its module
     c = cells(spark, d)
     near = ann.neighbours(c, 4 * ann.DEGREE)
     v = c.select(F.col("cell_id").alias("src"), F.col("key").alias("v")), c.select(F.col("cell_id").alias("dst"), F.col("key").alias("o"))
 
     def prune(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("dst")
-        kept = ann.prune(np.asarray(rows["v"].iloc[0]), np.stack(rows["o"].to_numpy()))
+        kept = keep(np.asarray(rows["v"].iloc[0]), np.stack(rows["o"].to_numpy()))
         return pd.DataFrame({"src": rows["src"].iloc[0], "dst": rows["dst"].to_numpy()[kept], "rank": range(1, len(kept) + 1)})
 
     return near.select("src", "dst").join(v[0], "src").join(v[1], "dst").groupBy("src").applyInPandas(prune, "src bigint, dst bigint, rank bigint")

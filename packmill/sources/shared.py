@@ -8,11 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+#: Paths only: functions of this module travel to workers by value, and a session may not.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset (tests), a folder of this machine.
+    """The folder named in spark.checkpoint.dir, as a URI of the cluster's file system. Where it is unset (tests), a folder of this machine.
 
     A cluster without the setting gets an error: a machine's own folder is not seen by the others.
     """
@@ -22,14 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="packmill-")
         spark.conf.set("spark.checkpoint.dir", named)
-        _made.append((spark, named))
-    return named.rstrip("/") if "://" in named or named.startswith("file:") else "file://" + named.rstrip("/")
+        _made.append(named)
+    fs, p = hadoop(spark, named)
+    return fs.makeQualified(p).toString().rstrip("/")
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
     """A path not used before in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/packmill/{what}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made.append(path)
     return path
 
 
@@ -57,10 +59,13 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    spark = SparkSession.getActiveSession()
+    if spark is None:  # the session ended first; its folder is then the cluster's to clean
+        return
+    for path in _made:
         try:
             remove(spark, path)
-        except Exception:  # the session may have ended first; its folder is then the cluster's to clean
+        except Exception:
             return
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packmill.sources.shared import new_dir, remove, shared_dir, written
+
+__all__ = ["BATCH_BYTES", "BROADCAST_BYTES", "cached", "fresh", "new_dir", "remove", "shared_dir", "small_batches", "table", "unit_hash", "unit_hash_sql", "worker_cache", "written"]
+
 #: Broadcast only what is at most this large; each operator has another way beyond it.
 BROADCAST_BYTES = 64 << 20
 
@@ -18,52 +19,6 @@ BROADCAST_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 _MOST = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset (tests), a folder of this machine.
-
-    A cluster without the setting gets an error: a machine's own folder is not seen by the others.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="packmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        _made.append((spark, named))
-    return named.rstrip("/") if "://" in named or named.startswith("file:") else "file://" + named.rstrip("/")
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    """A path not used before in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/packmill/{what}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended first; its folder is then the cluster's to clean
-            return
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends here, and lost executors cost no more than their tasks."""
-    path = new_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches have at most BATCH_BYTES (a smaller setting stays): long texts then come a few at a time."""

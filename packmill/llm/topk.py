@@ -1,160 +1,402 @@
 """Operator 10: exact top-k search with vector-approximation files.
 
-Every vector is quantised to 8 bits a dimension on a grid over the range of all values; the
-approximation is the cell's centre and the distance from it to the vector. That gives bounds: a
-vector is no nearer and no farther from a query than its cell's centre, plus or minus that distance.
-Blocks of queries scan blocks of approximations; of each pair of blocks those candidates remain whose
-lower bound is not above the k-th smallest upper bound. Then each query's candidates are read exactly
-in the order of lower bounds, until the k-th exact distance is below the next bound. Every row is a
-query against all others.
+Vectors are quantised to 8 bits a dimension on a grid over each dimension's range; the approximation is
+the cell's centre and the distance from it to the vector. That gives bounds: a vector is no nearer and
+no farther from a query than its cell's centre, plus or minus that distance. All arithmetic is on
+differences to the middle of the ranges, and the bounds give way by the rounding that the norms allow,
+so vectors far from the origin have sound bounds too.
+
+Exact vectors are written to files once, block by block, and only approximations are shuffled: groups of
+query blocks meet groups of data blocks in the cells of a grid. A task holds one group of queries, streams
+the data blocks of its cell and keeps each query's k smallest upper bounds, so it passes on only vectors
+whose lower bound is not above the k-th of them. At last the candidates of a query, from all cells, are
+read from the files by position, in the order of their lower bounds, until the k-th exact distance is
+below the next bound: what the bounds exclude is never read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from packmill.llm.common import table, written
+from packmill.llm.common import BROADCAST_BYTES, new_dir, small_batches, table, written
+from packmill.llm.files import Attempt, open_input
 
 K = 10
+#: The rows that are queries in op10_topk: those whose id is divisible by this.
+EVERY = 50
 #: Vectors in a block.
 BLOCK = 2048
 #: Distances are compared after rounding to so many decimals, then by id.
 DECIMALS = 6
+#: Bytes of the exact vectors of the queries that a task holds.
+QUERY_BYTES = 32 << 20
+#: Pairs of a query and an approximation that a task compares, about: minutes of work.
+PAIRS = 50_000_000_000
+#: Bytes of a file of exact vectors, about.
+ROLL = 256 << 20
+#: Candidates that a scanning task holds before it passes them on.
+_HELD = 1 << 20
+#: Bytes between two vectors of a file that are read rather than skipped.
+_GAP = 1 << 14
 _SLACK = 2 * 10.0**-DECIMALS
+_EPS = np.finfo(np.float64).eps
+_OUT = "vec_id bigint, rank int, neighbour_id bigint, distance double"
+_BLOCKS = "block bigint, uri string, at bigint, n int, ids binary, rows binary, codes binary, off binary"
+_FOUND = "q_block bigint, q_at int, q_id bigint, block bigint, at int, id bigint, lower double, upper double"
+
+
+def _extremes(batches):
+    """(d, i, low, high): the range of every dimension, for each length of vectors of a task."""
+    seen: dict = {}
+    for batch in batches:
+        v = batch.column("v")
+        start, flat = v.offsets.to_numpy()[:-1] - v.offsets[0].as_py(), v.flatten().to_numpy()
+        size = np.diff(np.append(start, len(flat)))
+        for d in np.unique(size):
+            x = flat[start[size == d][:, None] + np.arange(d)]
+            n, low, high = seen.get(d, (0, x[0], x[0]))
+            seen[d] = n + len(x), np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+    for d, (n, low, high) in seen.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, n)), pa.array(low), pa.array(high)], ["d", "i", "n", "low", "high"])
 
 
-def _blocks(low: float, step: float, dim: int, block: int):
-    """Packs rows (id, row, v) into blocks: ids, row numbers, 8-bit codes, distances to the cells' centres, and the vectors."""
+def _blocks(folder: str, low: np.ndarray, step: np.ndarray, block: int):
+    """Packs rows (id, row, v) into blocks: the exact vectors go to a file, and what a scan needs into a row."""
+    middle = low + 128 * step
 
     def work(batches):
-        held: list = []
+        out, held, done = None, [], []
+
+        def pack(ids, at, v):
+            x = v - middle
+            codes = np.clip(np.floor(x / step + 128), 0, 255).astype(np.uint8)
+            with np.errstate(over="ignore"):
+                off = np.sqrt(((x - (codes - 127.5) * step) ** 2).sum(1)) * (1 + 1e-12) + 4 * _EPS * np.sqrt((x * x).sum(1))
+            row = (int(at.min()), out.uri, out.size, len(ids), ids.tobytes(), at.tobytes(), codes.tobytes(), off.tobytes())
+            out.write(v.tobytes())
+            return row
+
+        def ready():
+            kinds = pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], [f.split()[0] for f in _BLOCKS.split(", ")])
 
-        def pack(rows):
-            ids, at, v = (np.array([r[i] for r in rows]) for i in range(3))
-            codes = np.clip(np.floor((v - low) / step), 0, 255).astype(np.uint8)
-            off = np.sqrt(((v - (low + (codes + 0.5) * step)) ** 2).sum(1)) * (1 + 1e-12) + 1e-12
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(at.min())]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), at.astype(np.int64), codes, off, v.astype(np.float64)))],
-                ["block", "ids", "rows", "codes", "off", "vectors"],
-            )
+        def chunk(part):
+            v = part.column("v").combine_chunks()
+            return part.column("id").to_numpy(), part.column("row").to_numpy(), np.ascontiguousarray(v.flatten().to_numpy().reshape(len(v), -1))
 
         for batch in batches:
-            for i, at, v in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "v"))):
-                held.append((i, at, v))
-                if len(held) == block:
-                    yield pack(held)
-                    held = []
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            if sum(h.num_rows for h in held) < block:
+                continue
+            rows = pa.concat_tables(held)
+            while rows.num_rows >= block:
+                out = out or Attempt(folder, ".vec")
+                done.append(pack(*chunk(rows.slice(0, block))))
+                rows = rows.slice(block)
+                if out.size >= ROLL:
+                    out.close()
+                    out = None
+                    yield ready()
+                    done = []
+            held = [rows] if rows.num_rows else []
         if held:
-            yield pack(held)
+            out = out or Attempt(folder, ".vec")
+            done.append(pack(*chunk(pa.concat_tables(held))))
+        if out is not None:
+            out.close()
+        if done:
+            yield ready()
 
     return work
 
 
-def _scan(low: float, step: float, dim: int, k: int):
-    """For each pair of a query block and a data block, the candidates of each query by bounds."""
+class _Scan:
+    """A group of queries, their k smallest upper bounds so far, and the candidates that these leave."""
+
+    def __init__(self, step: np.ndarray, k: int):
+        self.step, self.k = step, k
+        self.q: list = []
+        self.ready = False
+
+    def add_query(self, block: int, ids: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+        self.q.append((np.full(len(rows), block), np.arange(len(rows)), ids, rows, x))
+        self.ready = False
+
+    def begin(self) -> None:
+        self.block, self.place, self.ids, self.rows, self.x = (np.concatenate(c) for c in zip(*self.q))
+        self.square = (self.x * self.x).sum(1)
+        self.norm = np.sqrt(self.square)
+        self.best = np.full((len(self.x), self.k), np.inf)
+        self.own = np.argsort(self.rows, kind="stable")
+        self.pool: list = []
+        self.held = 0
+        self.ready = True
+
+    def data(self, block: int, ids, rows, codes, off) -> None:
+        if not self.q:
+            return
+        if not self.ready:
+            self.begin()
+        centre = (codes.reshape(len(ids), -1) - 127.5) * self.step
+        c_square = (centre * centre).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = self.x @ centre.T
+            square *= -2
+            square += self.square[:, None]
+            square += c_square
+            # what the square form may be wrong by
+            wrong = 8 * (centre.shape[1] + 8) * _EPS * (self.norm + np.sqrt(c_square.max())) ** 2
+            limit = (self.best[:, -1] + off.max() + 2 * _SLACK) ** 2 + wrong
+            if not np.isfinite(wrong).all() or not np.isfinite(self.square.max() + c_square.max()):
+                square[~np.isfinite(square)] = np.nan  # beyond what squares can hold: no bound, so the exact vectors decide
+            self.mask(square, rows)
+            i, j = np.nonzero(~(square > limit[:, None]))
+            self.take(block, i, j, square[i, j], wrong[i], off[j], ids)
+
+    def mask(self, square: np.ndarray, rows: np.ndarray) -> None:
+        """A row is not its own neighbour."""
+        place = np.searchsorted(self.rows, rows, sorter=self.own)
+        place = self.own[np.minimum(place, len(self.rows) - 1)]
+        same = np.flatnonzero(self.rows[place] == rows)
+        square[place[same], same] = np.inf
+
+    def take(self, block: int, i, j, square, wrong, off, ids) -> None:
+        lower = np.sqrt(np.maximum(square - wrong, 0)) - off - _SLACK
+        upper = np.sqrt(np.maximum(square + wrong, 0)) + off + _SLACK
+        lower, upper = np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+        other = ~np.isposinf(square)
+        i, j, lower, upper = i[other], j[other], lower[other], upper[other]
+        # each query's k smallest upper bounds, with those it had
+        order = np.lexsort((upper, i))
+        first = np.flatnonzero(np.diff(i[order], prepend=-1))
+        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        few = order[nth < self.k]
+        new = np.full((len(self.x), self.k), np.inf)
+        new[i[few], nth[nth < self.k]] = upper[few]
+        self.best = np.partition(np.concatenate([self.best, new], 1), self.k - 1, axis=1)[:, : self.k]
+        self.best.sort(axis=1)
+        keep = lower <= self.best[i, -1]
+        i, j = i[keep], j[keep]
+        self.pool.append((i, np.full(len(i), block), j, ids[j], lower[keep], upper[keep]))
+        self.held += len(i)
+        if self.held > _HELD:
+            self.prune()
+
+    def prune(self) -> None:
+        pool = [np.concatenate(c) for c in zip(*self.pool)]
+        keep = pool[4] <= self.best[pool[0], -1]
+        self.pool = [tuple(c[keep] for c in pool)]
+        self.held = int(keep.sum())
+
+    def found(self):
+        """The candidates left, as a batch of rows."""
+        self.prune()
+        i, block, j, ids, lower, upper = self.pool[0]
+        self.pool, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(self.block[i]), pa.array(self.place[i].astype(np.int32)), pa.array(self.ids[i]), pa.array(block), pa.array(j.astype(np.int32)), pa.array(ids), pa.array(lower), pa.array(upper)], [f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _scan(step: np.ndarray, k: int):
+    """The candidates of the cells of a partition; a cell's query blocks come before its data blocks."""
 
     def work(batches):
+        now, scan = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                q = np.frombuffer(r["q_vectors"]).reshape(-1, dim)
-                q_ids, q_rows = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_rows"))
-                ids, rows = (np.frombuffer(r[c], np.int64) for c in ("ids", "rows"))
-                centre = low + (np.frombuffer(r["codes"], np.uint8).reshape(-1, dim) + 0.5) * step
-                off = np.frombuffer(r["off"])
-                square = (q * q).sum(1)[:, None] - 2 * (q @ centre.T) + (centre * centre).sum(1)
-                far = np.sqrt(np.maximum(square, 0))
-                # rounding of the square form: generous, and only ever widens the bounds
-                slack = np.sqrt(1e-12 * (1 + np.abs(square))) + _SLACK
-                lower, upper = far - off - slack, far + off + slack
-                same = q_rows[:, None] == rows
-                upper[same] = np.inf
-                m = min(k, len(ids)) - 1
-                kth = np.partition(upper, m, axis=1)[:, m] if len(ids) >= k else np.full(len(q), np.inf)
-                hit = np.nonzero((lower <= kth[:, None]) & ~same)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(hit[0]), r["q_block"])), pa.array(q_rows[hit[0]]), pa.array(rows[hit[1]]), pa.array(ids[hit[1]]), pa.array(lower[hit]), pa.array(upper[hit])],
-                    ["q_block", "q_row", "row", "id", "lower", "upper"],
-                )
+                if r["cell"] != now:
+                    if scan is not None and scan.ready:
+                        yield scan.found()
+                    now, scan = r["cell"], _Scan(step, k)
+                if r["x"] is not None:
+                    scan.add_query(r["block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64), np.frombuffer(r["x"]).reshape(r["n"], -1))
+                    continue
+                scan.data(r["block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64), np.frombuffer(r["codes"], np.uint8), np.frombuffer(r["off"]))
+                if scan.ready and scan.held > _HELD:
+                    yield scan.found()
+        if scan is not None and scan.ready:
+            yield scan.found()
 
     return work
 
 
-def _refine(k: int):
-    """Reads the exact vectors of a query's candidates in the order of lower bounds until the k-th is certain."""
-
-    def work(part: pa.Table) -> pa.Table:
-        q = np.frombuffer(part.column("q")[0].as_py())
-        lower, ids = part.column("lower").to_numpy(), part.column("id").to_numpy()
-        order = np.lexsort((ids, lower))
-        vectors = part.column("x").combine_chunks()
-        done: list = []
-        at = 0
-        while at < len(order):
-            if len(done) >= k and sorted(done)[k - 1][0] < lower[order[at]]:
-                break
-            for i in order[at : at + k]:
-                x = np.frombuffer(vectors[i].as_py())
-                done.append((round(float(np.sqrt(((q - x) ** 2).sum())), DECIMALS), int(ids[i])))
-            at += k
-        best = sorted(done)[:k]
-        n = len(best)
-        one = part.column("q_id")[0].as_py()
-        return pa.table({"vec_id": pa.array([one] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "neighbour_id": pa.array([b[1] for b in best], pa.int64()), "distance": pa.array([b[0] for b in best], pa.float64())})
+class _Files:
+    """Reads vectors by file and position, neighbours in one go; the latest files stay open."""
+
+    def __init__(self, dim: int):
+        self.dim, self.open = dim, {}
+
+    def __call__(self, uris: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, size = np.empty((len(at), self.dim)), 8 * self.dim
+        order = np.lexsort((at, uris))
+        lo = 0
+        while lo < len(order):
+            hi, uri = lo + 1, uris[order[lo]]
+            while hi < len(order) and uris[order[hi]] == uri and at[order[hi]] - at[order[hi - 1]] <= _GAP + size and at[order[hi]] - at[order[lo]] < 4 << 20:
+                hi += 1
+            if uri not in self.open:
+                while len(self.open) >= 16:
+                    self.open.pop(next(iter(self.open))).close()
+                self.open[uri] = open_input(uri)
+            first = int(at[order[lo]])
+            data = self.open[uri].read_at(int(at[order[hi - 1]]) - first + size, first)
+            for i in order[lo:hi]:
+                out[i] = np.frombuffer(data, np.float64, self.dim, int(at[i]) - first)
+            lo = hi
+        return out
+
+    def close(self) -> None:
+        for f in self.open.values():
+            f.close()
+
+
+def _refine(dim: int, k: int):
+    """Exact neighbours of the queries of a partition, whose candidates come query by query in the order of lower bounds.
+
+    Queries go on together: in each round every query that is not certain yet reads its next k candidates.
+    """
+    names = ["q_block", "q_at", "q_uri", "q_base", "q_id", "block", "at", "id", "uri", "base", "lower", "upper"]
+
+    def search(t: pa.Table, read: _Files):
+        c = {n: t.column(n).to_numpy(zero_copy_only=False) for n in names if n not in ("uri", "q_uri")}
+        uri, q_uri = (t.column(n).to_numpy(zero_copy_only=False) for n in ("uri", "q_uri"))
+        start = np.flatnonzero((np.diff(c["q_block"], prepend=-1) != 0) | (np.diff(c["q_at"], prepend=-1) != 0))
+        stop = np.append(start[1:], t.num_rows)
+        group = np.repeat(np.arange(len(start)), stop - start)
+        order = np.lexsort((c["upper"], group))
+        kth = np.where(stop - start >= k, c["upper"][order[np.minimum(start + k - 1, len(order) - 1)]], np.inf)
+        # sorted by lower bound, so what is beyond a query's k-th upper bound is a tail
+        stop = start + np.add.reduceat((c["lower"] <= kth[group]).astype(np.int64), start)
+        q = read(q_uri[start], c["q_base"][start] + 8 * dim * c["q_at"][start].astype(np.int64))
+        best: list = [[] for _ in start]
+        at = start.copy()
+        live = np.arange(len(start))
+        while len(live):
+            take = [np.arange(at[i], min(at[i] + k, stop[i])) for i in live]
+            own, rows = np.repeat(live, [len(x) for x in take]), np.concatenate(take)
+            x = read(uri[rows], c["base"][rows] + 8 * dim * c["at"][rows].astype(np.int64))
+            with np.errstate(over="ignore"):
+                far = np.round(np.sqrt(((q[own] - x) ** 2).sum(1)), DECIMALS)
+            for i, d, r in zip(own, far, rows):
+                best[i].append((float(d), int(c["id"][r])))
+            more = []
+            for i in live:
+                best[i] = sorted(best[i])[:k]
+                at[i] = min(at[i] + k, stop[i])
+                if at[i] < stop[i] and (len(best[i]) < k or best[i][-1][0] >= c["lower"][at[i]]):
+                    more.append(i)
+            live = np.array(more, np.int64)
+        rows = [(int(c["q_id"][s]), r + 1, i, d) for s, b in zip(start, best) for r, (d, i) in enumerate(b)]
+        kinds = pa.int64(), pa.int32(), pa.int64(), pa.float64()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["vec_id", "rank", "neighbour_id", "distance"])
+
+    def work(batches):
+        read, rest = _Files(dim), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            b, a = now.column("q_block").to_numpy(), now.column("q_at").to_numpy()
+            change = np.flatnonzero((b != b[-1]) | (a != a[-1]))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            rest = now.slice(cut)
+            if cut:
+                yield search(now.slice(0, cut), read)
+        if rest is not None and rest.num_rows:
+            yield search(rest, read)
+        read.close()
 
     return work
 
 
-def nearest(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k rows nearest to each row of vectors (vec_id, embedding), in Euclidean distance.
+def _usable(vectors: DataFrame) -> DataFrame:
+    """(id, v) of the rows that can be compared."""
+    v = F.col("embedding").cast("array<double>")
+    fine = F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).filter(fine)
+
+
+def nearest(vectors: DataFrame, k: int = K, block: int = BLOCK, every: int = 1, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k rows nearest to the queries among all rows of vectors (vec_id, embedding), in Euclidean distance.
 
-    Equal distances (to DECIMALS decimals) are ranked by neighbour_id. Cases: a row is not its own
-    neighbour, but a repeated row is a neighbour at distance 0, and a repeated vec_id gets its ranks once
-    for each row; rows with a null vec_id, a null, empty or NaN vector, a null element, or a length other
-    than the most common one (the shorter of two) are neither queries nor neighbours; with k or fewer
-    other rows all of them are given; an empty table gives none.
+    Queries are the rows whose vec_id is divisible by `every`. Equal distances (to DECIMALS decimals) are
+    ranked by neighbour_id. Cases: a row is not its own neighbour, but a repeated row is a neighbour at
+    distance 0, and a repeated vec_id gets its ranks once for each row; rows with a null vec_id, a null,
+    empty, infinite or NaN vector, a null element, or a length other than the most common one (the shorter
+    of two) are neither queries nor neighbours; with k or fewer other rows all of them are given; an empty
+    table gives none. Of more than k + 1 rows with one vector only the k + 1 of smallest ids can be anyone's
+    neighbours, so only they are searched, and a vector that very many rows share costs no more than any other.
     """
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
-    usable = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    numbered = written(usable.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    lengths = numbered.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"))
-    first = lengths.orderBy(F.desc("n"), "d").first()
-    out = "vec_id bigint, rank int, neighbour_id bigint, distance double"
+    numbered = written(small_batches(_usable(vectors)).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    ranges = written(numbered.select("v").mapInArrow(_extremes, "d int, i int, n bigint, low double, high double").groupBy("d", "i").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "ranges")
+    first = ranges.filter("i = 0").orderBy(F.desc("n"), "d").select("d").first()
     if first is None:
-        return spark.createDataFrame([], out)
-    dim, low, step = first["d"], first["low"], max((first["high"] - first["low"]) / 256, 1e-300)
-    rows = written(numbered.filter(F.size("v") == dim).select("id", "row", "v"), "rows")
-    blocks = written(rows.mapInArrow(_blocks(low, step, dim, block), "block bigint, ids binary, rows binary, codes binary, off binary, vectors binary"), "blocks")
-    queries = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"))
-    pairs = queries.crossJoin(blocks.select("ids", "rows", "codes", "off")).repartition(4 * spark.sparkContext.defaultParallelism)
-    found = written(pairs.mapInArrow(_scan(low, step, dim, k), "q_block bigint, q_row bigint, row bigint, id bigint, lower double, upper double"), "candidates")
-    # over all blocks, a query's k-th smallest upper bound
-    kth = found.groupBy("q_row").agg(F.sort_array(F.collect_list("upper")).alias("u")).select("q_row", F.element_at("u", F.least(F.size("u"), F.lit(k))).alias("kth"), F.size("u").alias("n"))
-    left = found.join(kth, "q_row").filter((F.col("lower") <= F.col("kth")) | (F.col("n") <= k)).select("q_row", "row", "id", "lower")
-    exact = rows.select("row", "id", _packed("v"))
-    met = left.join(exact.select("row", F.col("packed").alias("x")), "row").join(exact.select(F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("packed").alias("q")), "q_row")
-    return met.groupBy("q_row").applyInArrow(_refine(k), out)
-
-
-def _packed(name: str):
+        return spark.createDataFrame([], _OUT)
+    dim = first["d"]
+    got = ranges.filter(F.col("d") == dim).orderBy("i").select("low", "high").toArrow()
+    low, high = (got.column(c).to_numpy() for c in ("low", "high"))
+    step = np.maximum((high / 256 - low / 256), np.maximum(np.abs(low), np.abs(high)) * _EPS * 4 + 1e-300)
+    middle = low + 128 * step
+    rows = numbered.filter(F.size("v") == dim)
+    copies = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id", "row")
+    data = rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).select("id", "row", "v")
+    folder = new_dir(spark, "exact")
+    packed = lambda df: written(df.mapInArrow(_blocks(folder, low, step, block), _BLOCKS), "blocks")
+    blocks, asked = packed(data), packed(rows.filter(F.pmod("id", F.lit(every)) == 0))
+    of_data, of_queries = (b.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first() for b in (blocks, asked))
+    if not of_queries["rows"]:
+        return spark.createDataFrame([], _OUT)
+    # a grid of groups of query blocks and groups of data blocks: as few of the first as their size allows
+    down = -(-of_queries["rows"] * 8 * dim // query_bytes)
+    across = max(1, min(of_data["blocks"], -(-4 * spark.sparkContext.defaultParallelism // down)))
+    across = max(across, -(-of_queries["rows"] * of_data["rows"] // (down * PAIRS)))
+    group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    exact = _exact(dim, middle)
+    q = asked.select("block", "n", "ids", "rows", exact("uri", "at", "n").alias("x"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("off"), group(down).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("z"), F.lit(0).alias("kind"))
+    c = blocks.select("block", "n", "ids", "rows", F.lit(None).cast("binary").alias("x"), "codes", "off", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), group(across).alias("z"), F.lit(1).alias("kind"))
+    grid = q.unionByName(c).withColumn("cell", F.col("y") * across + F.col("z")).repartitionById(down * across, F.col("cell")).sortWithinPartitions("cell", "kind", "block")
+    found = written(grid.mapInArrow(_scan(step, k), _FOUND), "candidates")
+    # from blocks to places in files: one short row a block
+    place = blocks.select("block", "uri", F.col("at").alias("base"))
+    q_place = asked.select(F.col("block").alias("q_block"), F.col("uri").alias("q_uri"), F.col("at").alias("q_base"))
+    small = (of_data["blocks"] + of_queries["blocks"]) * 256 <= BROADCAST_BYTES
+    tasks = max(1, min(found.count() // 20_000 + 1, 100_000))
+    if small:  # places are looked up after the shuffle, which carries numbers only
+        met = found.repartition(tasks, "q_block", "q_at").join(F.broadcast(place), "block").join(F.broadcast(q_place), "q_block")
+    else:
+        met = found.join(place, "block").join(q_place, "q_block").repartition(tasks, "q_block", "q_at")
+    met = met.select("q_block", "q_at", "q_uri", "q_base", "q_id", "block", "at", "id", "uri", "base", "lower", "upper").sortWithinPartitions("q_block", "q_at", "lower", "id")
+    return met.mapInArrow(_refine(dim, k), _OUT)
+
+
+def _exact(dim: int, middle: np.ndarray):
+    """The vectors of a block, less the middle, from its file."""
+    from pyspark.sql import types as T
+
     @F.arrow_udf(T.BinaryType())
-    def pack(v: pa.Array) -> pa.Array:
-        return pa.array([np.array(x, np.float64).tobytes() for x in v.to_pylist()], pa.binary())
+    def read(uri: pa.Array, at: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for u, a, m in zip(uri.to_pylist(), at.to_pylist(), n.to_pylist()):
+            with open_input(u) as f:
+                out.append((np.frombuffer(f.read_at(8 * dim * m, a), np.float64).reshape(m, dim) - middle).tobytes())
+        return pa.array(out, pa.binary())
 
-    return pack(F.col(name)).alias("packed")
+    return read
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    """Every row whose id is divisible by EVERY against all rows."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 OP10_SQL = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-pair AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_distance(a.e, b.e), {DECIMALS}) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+pair AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_distance(a.e, b.e), {DECIMALS}) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS rank FROM pair)
 SELECT vec_id, rank::INTEGER AS rank, neighbour_id, distance FROM ranked WHERE rank <= {K}
 """

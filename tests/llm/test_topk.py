@@ -7,10 +7,12 @@ from packmill.llm import topk as N
 VECTORS = "vec_id bigint, embedding array<float>"
 
 
-def brute(rows, k):
+def brute(rows, k, every=1):
     """All distances, sorted; rows of the most common length only."""
     out = []
     for a, (i, x) in enumerate(rows):
+        if i % every:
+            continue
         near = sorted((round(float(np.sqrt(((np.array(x, np.float32).astype(float) - np.array(y, np.float32).astype(float)) ** 2).sum())), N.DECIMALS), j) for b, (j, y) in enumerate(rows) if b != a)
         out += [(i, r + 1, j, d) for r, (d, j) in enumerate(near[:k])]
     return sorted(out, key=repr)
@@ -38,6 +40,54 @@ def test_all_cases(spark):
     assert rows_of(N.nearest(spark.createDataFrame(same_, VECTORS), 4, 8)) == brute(same_, 4)
 
 
+def exact(rows, k, every=1):
+    """The neighbours of each query by all distances, in doubles."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = []
+    for a in np.flatnonzero(ids % every == 0):
+        far = np.round(np.sqrt(((x - x[a]) ** 2).sum(1)), N.DECIMALS)
+        order = [b for b in np.lexsort((ids, far)) if b != a][:k]
+        out += [(int(ids[a]), r + 1, int(ids[b]), float(far[b])) for r, b in enumerate(order)]
+    return sorted(out, key=repr)
+
+
+DOUBLES = "vec_id bigint, embedding array<double>"
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e4, 1e6])
+def test_far_from_the_origin(spark, offset):
+    x = np.random.default_rng(5).normal(size=(300, 8)) * 1e-3 + offset
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert rows_of(N.nearest(spark.createDataFrame(rows, DOUBLES), 5, 64)) == exact(rows, 5)
+
+
+def test_huge_and_flat_values(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 4)) * np.array([1e200, 1.0, 0.0, 1e-200])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    with np.errstate(over="ignore"):
+        assert rows_of(N.nearest(spark.createDataFrame(rows, DOUBLES), 3, 16)) == exact(rows, 3)
+
+
+@pytest.mark.parametrize("query_bytes", [2_000, 1 << 25])
+def test_stated_queries_in_groups(spark, query_bytes):
+    """Queries are the rows whose id is divisible; a third of all rows are one vector, whose ids are spread."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    x[rng.permutation(3000)[:1000]] = x[17]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, DOUBLES).repartition(5)
+    assert rows_of(N.nearest(df, 10, 128, every=50, query_bytes=query_bytes)) == exact(rows, 10, 50)
+
+
+def test_files_are_read_in_place_of_a_join(spark, monkeypatch):
+    """Beyond the broadcast limit places are joined; the rows are the same."""
+    x = np.random.default_rng(8).normal(size=(500, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(N, "BROADCAST_BYTES", 0)
+    assert rows_of(N.nearest(spark.createDataFrame(rows, DOUBLES), 4, 32, every=7)) == exact(rows, 4, 7)
+
+
 def test_very_long_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=3000).tolist()) for i in range(12)]

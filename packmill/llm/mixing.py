@@ -2,15 +2,18 @@
 
 Every text is counted in tokens of a public vocabulary. The budget is shared among the sources by
 weight; a source that has less than its share gives all it has, and the others share the rest. For
-each source the histogram (length, documents) decides how many documents of each length to take: the
-same proportion of every length, rounded down, then single documents from the longest length down,
-and the last stretch by bounded-knapsack dynamic programming over what is left, so that the total
-meets the target to the token wherever some choice of lengths does. Which documents those are is
-drawn by a seeded hash.
+each source the histogram (length, documents) decides how many documents of each length to take. The
+bulk is the same proportion of every length, with what rounding leaves carried on to the next length,
+so that long and short documents keep their shares even where every length occurs once. Bounded-knapsack
+dynamic programming then fits the rest: it may add documents and give back some of the bulk, and gets a
+wider stretch of the target to rearrange until the target is met to the token, or the stretch is all of
+it, when no choice of lengths comes nearer. Which documents those are is drawn by a seeded hash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,8 +29,13 @@ WEIGHTS = {"src0": 2.0, "src1": 1.0, "src2": 1.5, "src3": 0.5}
 DEFAULT_WEIGHT = 1.0
 #: Tokens of the mix, as a share of all tokens there are.
 BUDGET = 0.6
-#: Tokens of a source's target that are left for the dynamic programming.
-RESERVE = 1 << 14
+#: Tokens of the bulk that the dynamic programming may give back at most: only a source whose documents' lengths make no
+#: exact sum within that (after division by what they have in common) may miss one that exists.
+WIDEST = 1 << 24
+#: Bits of reachable sums that are kept for going back.
+_KEPT_BITS = 1 << 32
+#: Draws fall into so many buckets of a length; only one bucket of it is ranked.
+BUCKETS = 1 << 16
 #: Bytes of a broadcast row of the cuts: source, length and key.
 CUT_BYTES = 128
 
@@ -61,41 +69,88 @@ def share(available: dict, weights: dict, default: float, budget: int) -> dict:
     return out
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: int) -> np.ndarray:
-    """How many documents of each length to take, for the largest total that is at most target and that this way can reach.
-
-    lengths are distinct and positive. If all documents fit, all are taken.
-    """
-    lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
+def _bulk(lengths: list, counts: list, target: int) -> list:
+    """About target tokens: the same proportion of every length, rounded so that what is left over counts for the next length."""
     total = sum(n * c for n, c in zip(lengths, counts))
-    if target >= total:
-        return np.array(counts, np.int64)
-    take = [c * target // total for c in counts]
-    rest = target - sum(n * t for n, t in zip(lengths, take))
-    down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    moved = True
-    while moved and rest > RESERVE:
-        moved = False
-        for i in down:
-            if take[i] < counts[i] and rest - lengths[i] >= RESERVE:
-                take[i] += 1
-                rest -= lengths[i]
-                moved = True
-    # bit s of `reach`: some choice of the documents so far has s tokens
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in reversed(down):
-        left, part = min(counts[i] - take[i], rest // lengths[i]), 1
-        while left > 0 and not reach >> rest & 1:
+    take, before, at = [], 0, 0
+    for c in counts:
+        at += c
+        upto = (2 * at * target + total) // (2 * total)
+        take.append(min(c, upto - before))
+        before = upto
+    return take
+
+
+def _scattered(lengths: list) -> list:
+    """Places of all lengths, short and long ones in turn."""
+    return sorted(range(len(lengths)), key=lambda i: (i * 0x9E3779B1) & 0xFFFFFFFF)
+
+
+def _released(lengths: list, take: list, width: int) -> list:
+    """How many of `take` to give back, about width tokens in all and some of every length, from lengths all over the range."""
+    free, out = width, [0] * len(lengths)
+    each = max(1, width // max(1, len(lengths)))
+    order = _scattered(lengths)
+    for i in order:
+        if lengths[i] <= free:
+            out[i] = min(take[i], max(1, each // lengths[i]), free // lengths[i])
+            free -= out[i] * lengths[i]
+    for i in order:  # and what is left of the width, where there is more to give back
+        more = min(take[i] - out[i], free // lengths[i])
+        out[i] += more
+        free -= more * lengths[i]
+    return out
+
+
+def _fill(lengths: list, room: list, rest: int) -> tuple[int, list]:
+    """(sum, how many of each) of the largest sum up to rest with at most room[i] of lengths[i]."""
+    for i, n in enumerate(lengths):
+        if n == rest and room[i]:
+            return rest, [int(j == i) for j in range(len(lengths))]
+    mask, reach, steps, kept = (1 << (rest + 1)) - 1, 1, [], 0
+    for i in _scattered(lengths):
+        n = lengths[i]
+        left, part = min(room[i], rest // n), 1
+        while left > 0 and not reach >> rest & 1 and kept <= _KEPT_BITS:
             k = min(part, left)
             steps.append((i, k, reach))
-            reach |= reach << (k * lengths[i]) & mask
+            kept += rest
+            reach |= reach << (k * n) & mask
             left, part = left - k, part * 2
-    at = reach.bit_length() - 1
+    at = best = reach.bit_length() - 1
+    got = [0] * len(lengths)
     for i, k, before in reversed(steps):
         if not before >> at & 1:
-            take[i] += k
+            got[i] += k
             at -= k * lengths[i]
-    return np.array(take, np.int64)
+    return best, got
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: int) -> np.ndarray:
+    """How many documents of each length to take, for the largest total that is at most target.
+
+    lengths are distinct and positive. If all documents fit, all are taken.
+    """
+    lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
+    if target >= sum(n * c for n, c in zip(lengths, counts)):
+        return np.array(counts, np.int64)
+    unit = math.gcd(*lengths)
+    lengths, target = [n // unit for n in lengths], max(0, int(target)) // unit
+    bulk = _bulk(lengths, counts, target)
+    over = sum(n * t for n, t in zip(lengths, bulk)) - target
+    best, width, widest = (-1, []), 0, min(target, max(WIDEST, 2 * max(lengths)))
+    while True:
+        back = bulk if width >= target else _released(lengths, bulk, max(over, 0) + width)
+        base = [t - r for t, r in zip(bulk, back)]
+        fixed = sum(n * t for n, t in zip(lengths, base))
+        if fixed <= target:
+            reached, more = _fill(lengths, [c - t for c, t in zip(counts, base)], target - fixed)
+            if fixed + reached > best[0]:
+                best = fixed + reached, [t + m for t, m in zip(base, more)]
+        if best[0] == target or width >= widest:
+            break
+        width = min(widest, max(4 * width, 2 * min(lengths)))
+    return np.array(best[1], np.int64)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDGET, seed: str = "mix", vocabulary: str = VOCABULARY, tokens: str | None = None) -> DataFrame:
@@ -106,9 +161,10 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDG
     weight; a source of weight 0 or less gives nothing; rows that repeat are counted and taken one by
     one; between documents of equal draw doc_id and then a hash of the text decide; an empty table gives none.
     """
-    n, row, cut, s_, n_ = (fresh(docs, c) for c in (tokens or "n_tokens", "mix_row", "mix_cut", "mix_source", "mix_length"))
-    counted = small_batches(docs).withColumn(n, token_counter(vocabulary)(F.col("text"))).filter(F.col(n) > 0)
-    counted = written(counted.withColumn(row, F.monotonically_increasing_id()), "counted")
+    n, row, key, cut, s_, n_ = (fresh(docs, c) for c in (tokens or "n_tokens", "mix_row", "mix_key", "mix_cut", "mix_source", "mix_length"))
+    draw = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    counted = small_batches(docs).withColumn(n, token_counter(vocabulary)(F.col("text"))).filter(F.col(n) > 0).withColumn(row, F.monotonically_increasing_id())
+    counted = written(counted.withColumn(key, F.struct(draw.alias("draw"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col(row).alias("row"))), "counted")
     lengths = counted.groupBy(F.col("source").alias("s"), F.col(n).alias("n")).agg(F.count("*").alias("c"))
     lengths = written(lengths, "lengths")
     # one row for each source
@@ -123,17 +179,26 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDG
         return pd.DataFrame({"s": part["s"], "n": part["n"], "c": part["c"], "take": got})
 
     plans = written(lengths.groupBy("s").applyInPandas(plan, "s string, n bigint, c bigint, take bigint").filter("take > 0"), "plans")
-    draw = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    key = F.struct(draw.alias("draw"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col(row).alias("row"))
-    # where not all of a length are taken: the key of the last one that is. Texts stay where they are, only keys move
-    keys = counted.select(F.col("source").alias("s"), F.col(n).alias("n"), key.alias("key"))
+    # where not all of a length are taken: the key of the last one that is. Texts stay where they are, only keys move,
+    # and of a length that many documents have only the bucket of draws that the last one falls into
+    keys = counted.select(F.col("source").alias("s"), F.col(n).alias("n"), F.col(key).alias("key"), F.floor(F.col(f"{key}.draw") * BUCKETS).cast("int").alias("b"))
     wanted = plans.filter("take < c").select(F.col("s").alias("ps"), F.col("n").alias("pn"), "take")
-    keys = keys.join(wanted, F.col("s").eqNullSafe(F.col("ps")) & (F.col("n") == F.col("pn"))).select("s", "n", "take", "key")
-    last = keys.withColumn("rank", F.row_number().over(Window.partitionBy("s", "n").orderBy("key"))).filter("rank = take").select("s", "n", F.col("key").alias("cut"))
+    wanted = F.broadcast(wanted) if wanted.count() * CUT_BYTES <= BROADCAST_BYTES else wanted
+    keys = keys.join(wanted, F.col("s").eqNullSafe(F.col("ps")) & (F.col("n") == F.col("pn"))).select("s", "n", "take", "b", "key")
+    upto = Window.partitionBy("s", "n").orderBy("b")
+    found = keys.groupBy("s", "n", "take", "b").agg(F.count("*").alias("here"), F.max("key").alias("last")).withColumn("below", F.sum("here").over(upto) - F.col("here"))
+    found = written(found.filter("below < take and below + here >= take"), "buckets")
+    # most such buckets hold one document
+    plain = found.filter("below + here = take").select("s", "n", F.col("last").alias("cut"))
+    split = found.filter("below + here > take").select(F.col("s").alias("fs"), F.col("n").alias("fn"), F.col("b").alias("fb"), "below")
+    split = F.broadcast(split) if split.count() * CUT_BYTES <= BROADCAST_BYTES else split
+    ranked = keys.join(split, F.col("s").eqNullSafe(F.col("fs")) & (F.col("n") == F.col("fn")) & (F.col("b") == F.col("fb")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("s", "n").orderBy("key")) + F.col("below")).filter("rank = take")
+    last = plain.unionByName(ranked.select("s", "n", F.col("key").alias("cut")))
     cuts = plans.filter("take = c").select("s", "n", F.lit(None).cast(last.schema["cut"].dataType).alias("cut")).unionByName(last)
     cuts = written(cuts, "cuts").select(F.col("s").alias(s_), F.col("n").alias(n_), F.col("cut").alias(cut))
     side = F.broadcast(cuts) if cuts.count() * CUT_BYTES <= BROADCAST_BYTES else cuts
-    chosen = counted.join(side, F.col("source").eqNullSafe(F.col(s_)) & (F.col(n) == F.col(n_))).filter(F.col(cut).isNull() | (key <= F.col(cut)))
+    chosen = counted.join(side, F.col("source").eqNullSafe(F.col(s_)) & (F.col(n) == F.col(n_))).filter(F.col(cut).isNull() | (F.col(key) <= F.col(cut)))
     return chosen.select(*docs.columns, *([n] if tokens else []))
 
 

@@ -3,11 +3,13 @@
 Questions and answers are normalised to words; every run of WINDOW words of an item is a pattern (a
 shorter item is one pattern), and all patterns form one automaton. A document's normalised text is
 scanned once; matches that continue each other in both texts are joined, and their ends are mapped
-back to characters of the original text.
+back to characters of the original text. In scripts without spaces between words (Han, kana) every
+character is a word.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -21,8 +23,18 @@ from packmill.llm.text import Words, chunks
 
 #: Words that a match has at least, unless the item is shorter.
 WINDOW = 8
-#: Items of fewer words are not searched for: they would flag ordinary text.
+#: Items of fewer words are searched for too, but their matches are marked as short, and no document is dropped for one: they occur in ordinary text.
 SHORTEST = 4
+_ALONE = re.compile("[\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _spaced(text: str | None) -> tuple[str | None, np.ndarray | None]:
+    """The text with blanks around every character that is a word of its own, and where each of its characters was before (None: where it is)."""
+    if not text or not _ALONE.search(text):
+        return text, None
+    alone = np.zeros(len(text), bool)
+    alone[[m.start() for m in _ALONE.finditer(text)]] = True
+    return _ALONE.sub(" \\g<0> ", text), np.repeat(np.arange(len(text)), np.where(alone, 3, 1))
 
 
 class Automaton:
@@ -31,14 +43,16 @@ class Automaton:
     def __init__(self, items: list, window: int = WINDOW, shortest: int = SHORTEST):
         import ahocorasick
 
-        self.window, self.places = window, []
+        self.window, self.places, self.short = window, [], {}
         number: dict[str, int] = {}
         for item, text in items:
-            w = Words([text])
+            w = Words([_spaced(text)[0]])
             words = [bytes(w.buf[a:b]).decode("latin-1") for a, b in zip(w.start, w.end)]
             if len(words) < shortest:
                 continue
             size = min(window, len(words))
+            # of several texts of one item a match is short if the item has no longer one
+            self.short[item] = self.short.get(item, True) and len(words) < SHORTEST
             for at in range(len(words) - size + 1):
                 pattern = " ".join(words[at : at + size])
                 k = number.setdefault(pattern, len(number))
@@ -52,11 +66,12 @@ class Automaton:
             self.machine.make_automaton()
 
     def find(self, texts: list):
-        """Yields (text, item, start, end, words): matches as character ranges of the texts."""
+        """Yields (text, item, start, end, words, short): matches as character ranges of the texts."""
         if not self.places:
             return
         for first, end in chunks(texts):
-            w = Words(texts[first:end])
+            parts, before = zip(*(_spaced(t) for t in texts[first:end]))
+            w = Words(list(parts))
             if not len(w.start):
                 continue
             inside = np.zeros(len(w.buf) + 1, bool)
@@ -86,7 +101,9 @@ class Automaton:
                     continue
                 if run:
                     base = chars[w.base[run[0]]]
-                    yield first + run[0], run[1], int(chars[w.start[run[3]]] - base), int(chars[w.end[run[4] - 1]] - base), run[4] - run[3]
+                    a, b = int(chars[w.start[run[3]]] - base), int(chars[w.end[run[4] - 1]] - base)
+                    was = before[run[0]]
+                    yield first + run[0], run[1], *((a, b) if was is None else (int(was[a]), int(was[b - 1]) + 1)), run[4] - run[3], self.short[run[1]]
                 run = (doc, item, shift, i, i + n)
 
 
@@ -103,10 +120,11 @@ def _sides(benchmark: DataFrame, limit: int) -> list:
     return sides
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, item_id, start_char, end_char, n_words): every maximal run of words that a document shares with an item.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = 1, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, start_char, end_char, n_words, short): every maximal run of words that a document shares with an item.
 
-    A run has `window` words or more, or is all of an item of fewer words (but at least `shortest`).
+    A run has `window` words or more, or is all of an item of fewer words (but at least `shortest`); short
+    marks items of fewer than SHORTEST words, such as bare answers, which ordinary text has too.
     start_char and end_char are a range of the original text, the end excluded. Cases: null and empty
     texts match nothing; items with a null id or text are not searched; rows with a null doc_id are
     searched as any; repeated rows give repeated matches; several places give several rows; an empty
@@ -121,15 +139,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortes
                 automaton = automaton or cached(name, lambda: Automaton(sent.value, window, shortest))
                 found = list(automaton.find(batch.column("text").to_pylist()))
                 at, item, start, end, n = (pa.array([f[i] for f in found], pa.int64()) for i in range(5))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), item, start, end, n], ["doc_id", "item_id", "start_char", "end_char", "n_words"])
+                short = pa.array([f[5] for f in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), item, start, end, n, short], ["doc_id", "item_id", "start_char", "end_char", "n_words", "short"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(work, "doc_id bigint, item_id bigint, start_char bigint, end_char bigint, n_words bigint")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(work, "doc_id bigint, item_id bigint, start_char bigint, end_char bigint, n_words bigint, short boolean")
         out = part if out is None else out.union(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents without a match, with all their columns. One pass, no shuffle. Null and empty texts stay."""
+    """The documents without a match of an item of `shortest` words or more, with all their columns. One pass, no shuffle. Null and empty texts stay."""
     for name, sent in _sides(benchmark, limit):
         flag = fresh(docs, "clean")
         docs = docs.withColumn(flag, _clean(name, sent, window, shortest)(F.col("text"))).filter(F.col(flag)).drop(flag)

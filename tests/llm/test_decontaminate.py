@@ -8,16 +8,23 @@ from packmill.llm.text import Words
 
 
 def words_at(text):
-    """[(word, start, end)] in characters, one by one."""
+    """[(word, start, end)] in characters, one by one; every Han or kana character is a word."""
     w = Words([text])
     out = []
     for a, b in zip(w.start, w.end):
         start = len(bytes(w.buf[:a]).decode("utf-8"))
-        out.append((bytes(w.buf[a:b]), start, start + len(bytes(w.buf[a:b]).decode("utf-8"))))
+        at = None
+        for i, c in enumerate(bytes(w.buf[a:b]).decode("utf-8"), start):
+            alone = "\u3041" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff"
+            if alone or at is None:
+                out.append((c.encode(), i, i + 1))
+            else:
+                out[-1] = (out[-1][0] + c.encode(), at, i + 1)
+            at = None if alone else i if at is None else at
     return out
 
 
-def brute(docs, items, window=D.WINDOW, shortest=D.SHORTEST):
+def brute(docs, items, window=D.WINDOW, shortest=1):
     """Every maximal common run of words, by comparing all places of all texts."""
     found = set()
     for d, text in docs:
@@ -39,7 +46,7 @@ def brute(docs, items, window=D.WINDOW, shortest=D.SHORTEST):
                     while i + n < len(mine) and j + n < len(theirs) and mine[i + n][0] == theirs[j + n]:
                         n += 1
                     if n >= need:
-                        found.add((d, item, mine[i][1], mine[i + n - 1][2], n))
+                        found.add((d, item, mine[i][1], mine[i + n - 1][2], n, len(theirs) < D.SHORTEST))
     return found
 
 
@@ -67,7 +74,7 @@ def test_matches_are_all_common_runs(spark, seed):
 def test_offsets_are_of_the_original(spark):
     item = "Where do the seven blue herons sleep when it rains?"
     text = f"«Début» — ÀÇ 日本語! WHERE  do the\nSEVEN, blue (herons) sleep when it rains … fin"
-    (_, _, start, end, n), = rows_of(D.matches(docs_of(spark, [(1, text)]), items_of(spark, [(9, item)])))
+    (_, _, start, end, n, _), = rows_of(D.matches(docs_of(spark, [(1, text)]), items_of(spark, [(9, item)])))
     assert text[start:end] == "WHERE  do the\nSEVEN, blue (herons) sleep when it rains" and n == 10
 
 
@@ -80,7 +87,8 @@ def test_all_cases(spark):
     count = {}
     for r in got:
         count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1
-    assert count == {3: 4, None: 2, 4: 4, 5: 2, 6: 1}
+    assert count == {3: 4, None: 2, 4: 4, 5: 2, 6: 1, 7: 1}
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["short"]} == {(7, 6)}
     kept = D.drop_contaminated(with_clashes(docs_of(spark, docs)), items_of(spark, items))
     assert kept.columns == with_clashes(docs_of(spark, docs)).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 7, 8]
@@ -89,6 +97,15 @@ def test_all_cases(spark):
     assert rows_of(parts) == sorted((tuple(r) for r in got), key=repr)
 
 
+def test_scripts_without_spaces(spark):
+    """An item that is one run of Han and kana is searched for character by character; offsets are of the original."""
+    item = "東京タワーは何年に完成しましたか"
+    docs = [(1, f"前置き。{item}、後書き。 Ünd"), (2, "東京タワーは何年に建ちましたか"), (3, "𠀀" + item[3:14])]
+    got = {tuple(r) for r in D.matches(docs_of(spark, docs), items_of(spark, [(1, item), (2, "42"), (3, "yes")])).collect()}
+    assert got == {(1, 1, 4, 4 + len(item), len(item), False), (2, 1, 0, 9, 9, False), (3, 1, 1, 12, 11, False)}
+    assert D.drop_contaminated(docs_of(spark, [*docs, (4, "yes, 42")]), items_of(spark, [(1, item), (2, "42"), (3, "yes")])).collect()[0]["doc_id"] == 4
+
+
 def test_empty(spark):
     assert D.matches(docs_of(spark, []), items_of(spark, [(1, prose(1, 20))])).count() == 0
     assert D.matches(docs_of(spark, [(1, prose(1, 20))]), items_of(spark, [])).count() == 0

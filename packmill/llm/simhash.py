@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -336,7 +336,7 @@ def _tied(group: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but one of each near-duplicate group; all columns stay.
 
-    Of rows that repeat a doc_id one stays, whichever comes first. Rows with a null doc_id, or with a
+    Of rows that repeat a doc_id one stays, chosen by hashes of its text and of all its columns. Rows with a null doc_id, or with a
     text that has no word, stay as they are.
     """
     lost_id, again_id = fresh(docs, "lost_id"), fresh(docs, "again_id")
@@ -347,7 +347,10 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     if again.isEmpty():
         return kept
     once = kept.join(again, kept["doc_id"] == F.col(again_id), "left_anti")
-    return once.unionByName(kept.join(again, kept["doc_id"] == F.col(again_id), "left_semi").dropDuplicates(["doc_id"]))
+    nth = fresh(docs, "nth")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))
+    several = kept.join(again, kept["doc_id"] == F.col(again_id), "left_semi").withColumn(nth, F.row_number().over(order))
+    return once.unionByName(several.filter(F.col(nth) == 1).drop(nth))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

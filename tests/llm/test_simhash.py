@@ -97,3 +97,40 @@ def test_query_on_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {tuple(r) for r in S.op1_simhash(spark, sf).collect()} == brute_groups([d[0] for d in docs], [d[1] for d in docs])
+
+
+def test_small_buckets_find_what_whole_comparison_finds(spark):
+    """Tables of sampled bits, as large corpora need them: no pair that is not there, and at least the stated share of pairs at the edge."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
+    twin = base.copy()
+    for r in range(len(twin)):
+        for p in rng.choice(128, S.RADIUS if r % 2 else rng.integers(1, 12), replace=False):
+            twin[r, p >> 6] ^= np.uint64(1) << np.uint64(p & 63)
+    fps = np.concatenate([base, twin])
+    positions = S.tables_for(len(fps), bucket=16)
+    assert positions.shape[1] > 0
+    met = np.zeros(400, bool)
+    for p in positions:
+        k = S.table_keys(fps, p)
+        met |= k[:400] == k[400:]
+    assert met[1::2].mean() >= S.RECALL - 0.05 and met[::2].mean() >= 0.99
+
+
+def test_groups_with_small_buckets(spark):
+    rows, i = [], 0
+    for g in range(60):
+        words = prose(g, 150).split()
+        for copy in range(1 + g % 4):
+            changed = list(words)
+            changed[(copy * 37) % 150] = f"other{copy}"
+            rows.append((i, " ".join(changed)))
+            i += 1
+    got = rows_of(S.near_duplicates(docs_of(spark, rows), bucket=16))
+    assert {tuple(r) for r in got} == brute_groups([r[0] for r in rows], [r[1] for r in rows])
+
+
+def test_one_of_several_texts_of_an_id_stays(spark):
+    rows = [(1, prose(1, 50)), (1, prose(2, 50)), (1, prose(3, 50)), (2, prose(4, 50))]
+    kept = {tuple(r) for n in (1, 2, 3) for r in S.drop_near_duplicates(docs_of(spark, rows).repartition(n)).collect()}
+    assert len(kept) == 2

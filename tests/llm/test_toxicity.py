@@ -110,3 +110,42 @@ def test_query_agrees_with_the_labels(spark):
     said = {r["doc_id"]: r["rejected"] for r in got.collect()}
     assert np.mean([said[i] for i in toxic if toxic[i] == 1 and i in said]) >= 0.95
     assert np.mean([said[i] for i in toxic if toxic[i] == 0 and i in said]) <= 0.02
+
+
+def test_every_row_against_a_plain_scorer(spark):
+    """The fitted model applied word by word in plain Python gives each row's severity, grade and verdict."""
+    import math
+    from collections import Counter
+
+    from packmill.llm.text import Words, fold
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known, weights, theta = X.train(docs, labels)
+    weight = dict(zip(known.tolist(), weights.tolist()))
+    seen = {}
+
+    def marks(word):
+        if word not in seen:
+            w, n = Words([word]), len(word.encode())
+            seen[word] = [int(w.hashes()[0])] + [int(w.hashes(k)[0]) ^ (k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in (5, 8) if n > k]
+        return seen[word]
+
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        text = fold(r["text"]) if r["text"] else ""
+        words = "".join(c if (c.isascii() and c.isalnum()) or ord(c) >= 128 else " " for c in text).split(" ")
+        counts = Counter(m for w in words if w for m in marks(w))
+        f = sum(weight.get(m, 0.0) * (1 + math.log(n)) for m, n in counts.items())
+        want[r["doc_id"]] = sum(1 / (1 + math.exp(t - f)) for t in theta) if any(words) else 0.0
+    got = X.op3_toxicity(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["severity"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+        assert r["rejected"] == (r["severity"] >= X.REJECT) and r["grade"] == int(r["severity"] + 0.5)
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark):
+    rows, toxic = corpus(60, 3)
+    docs = docs_of(spark, [*rows, *[(0, f"{rows[0][1]} again{i}") for i in range(50)]])
+    assert X.train(docs, labels_of(spark, [(i, 1, toxic[i]) for i in range(60)]), 10) is not None

@@ -37,6 +37,11 @@ _GRAM = np.int64((1 << 8 * ORDER) - 1)
 _HELD_GRAMS = 4 << 20
 
 
+def _tag(lang: str | None) -> int:
+    """A language's hash; a null language is one of its own."""
+    return zlib.crc32(b"\0none" if lang is None else lang.encode("utf-8", "replace")) & ((1 << _LANG_BITS) - 1)
+
+
 def grams(texts: list, langs: list):
     """Yields (key of every byte's n-gram, first text, bytes of each text), chunk by chunk.
 
@@ -51,7 +56,7 @@ def grams(texts: list, langs: list):
         for back in range(ORDER):
             key[back:] |= buf[: len(buf) - back].astype(np.int64) << np.int64(8 * back)
         at = np.arange(size.sum()) + np.repeat((ORDER - 1) * np.arange(1, len(parts) + 1), size)
-        tag = np.array([zlib.crc32((lang or "").encode()) & ((1 << _LANG_BITS) - 1) for lang in langs[first:end]], np.int64)
+        tag = np.array([_tag(lang) for lang in langs[first:end]], np.int64)
         yield key[at] | np.repeat(tag << np.int64(8 * ORDER), size), first, size
 
 
@@ -153,7 +158,7 @@ class Lookup:
     def __init__(self, key: np.ndarray, value: np.ndarray):
         bits = max(4, int(2 * len(key) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.key, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
         slot, left = self._slot(key), np.arange(len(key))
         while len(left):
             free = left[self.key[slot[left]] == -1]
@@ -183,7 +188,7 @@ class Lookup:
 
 def _sums_in_workers(docs: DataFrame, resolved: DataFrame) -> DataFrame:
     got = resolved.toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("logp").to_numpy().astype(np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("logp").to_numpy()))
     name = f"grams {id(sent)} {sent.id if hasattr(sent, 'id') else sent._jbroadcast.id()}"
 
     def work(batches):
@@ -202,20 +207,23 @@ def _sums_in_workers(docs: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def _sums_by_join(docs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The same sums where the n-grams are too many for a worker: each document's own n-grams, as numbers only, meet them shard by shard."""
+    docs = written(docs.withColumn("uid", F.monotonically_increasing_id()), "texts")
+
     def own(batches):
         for batch in batches:
+            uid = batch.column("uid").to_numpy()
             for key, first, n in grams(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                ends = np.concatenate([[0], np.cumsum(n)])
-                for i in range(len(n)):
-                    k, c = _unique(key[ends[i] : ends[i + 1]])
-                    row = batch.slice(first + i, 1)
-                    k, c = (k, c) if len(k) else (np.array([-1]), np.array([0]))
-                    same = [row.column(name).take(pa.array(np.zeros(len(k), np.int64))) for name in ("uid", "doc_id", "lang", "good", "train")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(k), pa.array(c)], ["uid", "doc_id", "lang", "good", "train", "key", "c"])
-
-    rows = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(own, "uid bigint, doc_id bigint, lang string, good boolean, train boolean, key bigint, c bigint")
-    met = rows.join(resolved, "key", "left")
-    return met.groupBy("uid", "doc_id", "lang", "good", "train").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.col("c") * F.col("logp").cast("float").cast("double")), F.lit(0.0)).alias("total")).drop("uid")
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[first + doc[at]]), pa.array(key[at]), pa.array(np.diff(np.append(at, len(key))).astype(np.int32))], ["uid", "key", "c"])
+
+    rows = docs.select("uid", "text", "lang").mapInArrow(own, "uid bigint, key bigint, c int")
+    sums = rows.join(resolved, "key").groupBy("uid").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("total"))
+    met = docs.drop("text").join(sums, "uid", "left")
+    return met.select("doc_id", "lang", "good", "train", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def _folds(known: DataFrame, held_out: float) -> DataFrame:

@@ -104,6 +104,12 @@ def test_all_cases(spark):
     assert Q.classify(docs_of(spark, []), labels).count() == 0
 
 
+def test_null_and_empty_languages_are_two(spark):
+    docs = docs_of(spark, [(1, "abc abc", None, "s"), (2, "abc abc", "", "s"), (3, "abc abc", None, "s")])
+    got = {r["doc_id"]: r for r in Q.classify(docs, spark.createDataFrame([(1, 1, 0)], LABELS)).collect()}
+    assert got[3]["perplexity"] < 200 and got[2]["perplexity"] == pytest.approx(256)
+
+
 def test_small_languages_have_thresholds_of_their_own(spark):
     """30 good documents of a language that no other is like, beside many of another; and languages with one good document or none."""
     rng = random.Random(6)

@@ -9,6 +9,8 @@ the subtrees that hold it. The draws are plain column expressions: no shuffle, n
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,27 @@ def _branch(node: dict, path: str, above: list[Column], depth: int, key: Column)
     return out
 
 
-def assign(docs: DataFrame, tree: dict | None = None, key: str = "doc_id") -> DataFrame:
+#: Nodes from which on a level's children stand in one literal map rather than in nested cases, which code could not hold.
+PLAIN_NODES = 64
+
+
+def _children_by_path(node: dict, path: str, depth: int) -> dict:
+    if depth == 0:
+        return {path: _children(node)}
+    return {k: v for name, _ in _children(node) for k, v in _children_by_path(node[name], f"{path}{name}/", depth - 1).items()}
+
+
+def _look_up(tree: dict, above: list[Column], depth: int, key: Column) -> Column:
+    """What _branch chooses, from a map of each node's children."""
+    found = _children_by_path(tree, "/", depth)
+    kind = "map<string,array<struct<c:string,w:double>>>"
+    children = F.from_json(F.lit(json.dumps({p: [{"c": c, "w": w} for c, w in v] for p, v in found.items()})), kind)
+    path = F.concat(F.lit("/"), *(F.concat(a, F.lit("/")) for a in above)) if above else F.lit("/")
+    draw = lambda x: F.struct((-F.log(unit_hash(F.concat(path, x["c"]), key)) / x["w"]).alias("d"), x["c"].alias("c"))
+    return F.array_min(F.transform(F.element_at(children, path), draw))["c"]
+
+
+def assign(docs: DataFrame, tree: dict | None = None, key: str = "doc_id", plain_nodes: int = PLAIN_NODES) -> DataFrame:
     """docs with the columns region, rack and shard; where docs has such a column, the new one gets a leading underscore.
 
     Cases: a null key is hashed as an empty one, so all such rows share a shard; rows of equal key go
@@ -61,7 +83,9 @@ def assign(docs: DataFrame, tree: dict | None = None, key: str = "doc_id") -> Da
     names: list[str] = []
     for depth, level in enumerate(LEVELS):
         name = fresh(docs, level)
-        docs = docs.withColumn(name, _branch(tree, "/", [F.col(n) for n in names], depth, hashed))
+        above = [F.col(n) for n in names]
+        many = sum(map(len, _children_by_path(tree, "/", depth).values())) > plain_nodes
+        docs = docs.withColumn(name, _look_up(tree, above, depth, hashed) if many else _branch(tree, "/", above, depth, hashed))
         names.append(name)
     return docs
 

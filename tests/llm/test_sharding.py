@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from helpers import docs_of, same, with_clashes
+from helpers import docs_of, rows_of, same, with_clashes
 from packmill.llm import sharding as H
 
 
@@ -76,3 +76,15 @@ def test_all_cases(spark):
 def test_sql(spark, duck):
     got, want = same(H.op7_sharding(spark, "/root/testdata/sf0.001"), duck.sql(H.OP7_SQL))
     assert got == want
+
+
+def test_a_map_of_children_chooses_what_nested_cases_choose(spark):
+    docs = docs_of(spark, [(i, "t") for i in range(500)] + [(None, "t")])
+    plain, mapped = (rows_of(H.assign(docs, plain_nodes=n).select("doc_id", "region", "rack", "shard")) for n in (10**6, 0))
+    assert plain == mapped
+
+
+def test_thousands_of_shards(spark):
+    tree = {f"r{a}": {f"k{b}": {f"s{c}": 1.0 + c % 3 for c in range(20)} for b in range(15)} for a in range(10)}
+    got = H.assign(docs_of(spark, [(i, "t") for i in range(3000)]), tree).select("region", "rack", "shard").distinct().count()
+    assert got > 1500

@@ -74,14 +74,13 @@ def judge(captures: DataFrame, lists: DataFrame) -> DataFrame:
     or unreadable URL and a null fetch time. A row that occurs several times gets as many rows. Paths
     are compared in lower case. Empty captures give no rows; an empty list blocks nothing.
     """
-    row = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("times"))
+    row = captures.select("page_id", "url", "fetched").withColumn("row", F.monotonically_increasing_id())
     keyed = row.withColumn("key", F.explode_outer(F.array_distinct(lookup_keys(F.col("url")))))
     active = intervals(lists)
     met = keyed.join(active, (F.col("key") == F.col("pattern")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))), "left")
     rank = F.struct((-F.length("pattern")).alias("a"), F.when(F.col("kind") == "block", 0).otherwise(1).alias("b"), F.col("list").alias("list"), F.col("pattern").alias("pattern"))
-    best = met.groupBy("page_id", "url", "fetched", "times").agg(F.min(F.when(F.col("pattern").isNotNull(), rank)).alias("best"))
-    out = best.select("page_id", "url", "fetched", F.col("best.list").alias("list"), F.col("best.pattern").alias("pattern"), F.coalesce(F.col("best.b") == 0, F.lit(False)).alias("blocked"), "times")
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
+    best = met.groupBy("row").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "fetched")), F.min(F.when(F.col("pattern").isNotNull(), rank)).alias("best"))
+    return best.select("page_id", "url", "fetched", F.col("best.list").alias("list"), F.col("best.pattern").alias("pattern"), F.coalesce(F.col("best.b") == 0, F.lit(False)).alias("blocked"))
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,9 +154,11 @@ def read(index: DataFrame) -> DataFrame:
                 i, frame, ids = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(frame, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "frame", "tokens"])
 
-    return index.filter("file is not null").repartition("file").sortWithinPartitions("file", "frame").mapInArrow(work, "doc_id bigint, frame bigint, tokens array<int>")
+    files = index.filter("file is not null")
+    n = files.agg(F.count_distinct("file")).first()[0]  # given, as few small rows that stand for much work would else be put together
+    return files.repartition(max(1, n), "file").sortWithinPartitions("file", "frame").mapInArrow(work, "doc_id bigint, frame bigint, tokens array<int>")
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index without the files' names, which differ from run to run."""
-    return write(table(spark, sf_dir, "documents")).select("doc_id", "frame", "n_tokens", "id_size", "checksum")
+    """The index without files and frames, which follow from how rows fell into tasks."""
+    return write(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "id_size", "checksum")

@@ -46,6 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, with their shards: one row for each document of the mix.
+
+    Rows with nulls are defined stage by stage: a null text is not toxic, has no copies and no passages, and is
+    not taken into the mix; a null source is a source of its own; a null doc_id is kept up to the mix and drawn
+    there by its text. Extra columns stay as they are, whatever their names. Empty documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -1,8 +1,9 @@
 """Top-k retrieval: exact scoring of single and multi-vector cells, in blocks of matrix products.
 
-Queries and cells are packed into Arrow blocks; every pair of blocks is one matrix product in a
-worker, and leaves k rows for each query. A window then takes the k best over all blocks, so what is
-shuffled is queries x blocks x k rows, never queries x cells. Ties are ranked by cell_id.
+Queries and cells are packed into blocks. Groups of query blocks meet groups of cell blocks in a grid:
+a task holds the queries of its place, streams the cell blocks and keeps the k best of each query, so what
+is shuffled afterwards is queries x columns of the grid x k rows, never queries x cells, and no task gets
+more than its place. Ties are ranked by cell_id.
 """
 
 from __future__ import annotations
@@ -13,11 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packmill.functions import vectors as V
+from packmill.sources.shared import written
 
 #: Scores are ranked after rounding to so many decimals, so that the order of sums does not decide.
 DECIMALS = 6
-BLOCK_TOKENS = 8192
+BLOCK_TOKENS = 4096
 PREFILTER_ABOVE, PREFILTER_LEAST, PREFILTER_TIMES = 512, 256, 64
+#: Bytes of the queries that a scanning task holds.
+QUERY_BYTES = 32 << 20
+#: Pairs of vectors that a task scores, about: minutes of work.
+PAIRS = 20_000_000_000
+#: What a NaN score is ranked as: after all others.
+_LAST = -np.finfo(np.float64).max
 
 
 def top(df: DataFrame, by: list[str], k: int, score: str = "score", tie: str = "cell_id", rank: str = "rank") -> DataFrame:
@@ -26,33 +34,37 @@ def top(df: DataFrame, by: list[str], k: int, score: str = "score", tie: str = "
     return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def _pack(id_name: str, block: int):
-    """Rows (id, owner, tokens) to blocks: ids, owners, tokens of each, and all vectors; one length of vectors in a block."""
+_BLOCK = "kind int, dim int, n int, ids binary, owners binary, weights binary, sizes binary, vectors binary"
+
+
+def _pack(kind: int, block: int):
+    """Rows (id, owner, weight, tokens) to blocks, all vectors of a block having one length."""
 
     def flush(held: list):
         by: dict = {}
-        for i, owner, tokens in held:
-            by.setdefault(len(tokens[0]), []).append((i, owner, tokens))
+        for row in held:
+            by.setdefault(len(row[3][0]), []).append(row)
         for dim, rows in by.items():
             ids, owners = (np.array([-1 if r[c] is None else r[c] for r in rows], np.int64) for c in (0, 1))
-            sizes = np.array([len(r[2]) for r in rows], np.int64)
-            flat = np.array([t for r in rows for t in r[2]], np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, owners, sizes, flat))], [f"{id_name}_{c}" for c in ("dim", "ids", "owners", "sizes", "vectors")])
+            weights = np.array([np.nan if r[2] is None else r[2] for r in rows], np.float64)
+            sizes = np.array([len(r[3]) for r in rows], np.int64)
+            flat = np.array([t for r in rows for t in r[3]], np.float64)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (kind, dim, len(flat))), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, owners, weights, sizes, flat))], [c.split()[0] for c in _BLOCK.split(", ")])
 
     def work(batches):
         held, n = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if not row[2] or not row[2][0] or any(t is None or len(t) != len(row[2][0]) or None in t for t in row[2]):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if not row[3] or not row[3][0] or any(t is None or len(t) != len(row[3][0]) or None in t for t in row[3]):
                     continue
                 held.append(row)
-                n += len(row[2])
+                n += len(row[3])
                 if n >= block:
                     yield from flush(held)
                     held, n = [], 0
         yield from flush(held)
 
-    return work, f"{id_name}_dim int, {id_name}_ids binary, {id_name}_owners binary, {id_name}_sizes binary, {id_name}_vectors binary"
+    return work
 
 
 def _reduce(s: np.ndarray, q_at: np.ndarray, c_at: np.ndarray, how: str, n: int) -> np.ndarray:
@@ -78,44 +90,122 @@ def _reduce(s: np.ndarray, q_at: np.ndarray, c_at: np.ndarray, how: str, n: int)
     return out
 
 
-def _score(how: str, n: int, k: int, same_owner: bool, skip_self: bool):
+def _int8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric codes of each vector, and their scales."""
+    scale = np.abs(x).max(1) / 127
+    safe = np.where(scale > 0, scale, 1.0)
+    return np.clip(np.sign(x) * np.floor(np.abs(x) / safe[:, None] + 0.5), -127, 127), scale
+
+
+class _Best:
+    """A block of queries and the k best cells of each so far."""
+
+    def __init__(self, r: dict, k: int, int8: bool):
+        self.ids, self.owners, self.sizes = (np.frombuffer(r[c], np.int64) for c in ("ids", "owners", "sizes"))
+        self.x = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
+        self.codes = _int8(self.x) if int8 else None
+        self.at, self.k = np.cumsum(self.sizes) - self.sizes, k
+        self.score = np.full((len(self.ids), k), -np.inf)
+        self.cell, self.owner = np.zeros((2, len(self.ids), k), np.int64)
+
+    def add(self, score: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> None:
+        """Scores (queries, cells), -inf for pairs that do not count."""
+        least = self.score[:, -1]
+        if score.shape[1] > self.k:
+            least = np.maximum(least, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1])
+        i, j = np.nonzero((score >= least[:, None]) & ~np.isneginf(score))
+        if not len(i):
+            return
+        n = len(self.ids)
+        q = np.concatenate([np.repeat(np.arange(n), self.k), i])
+        s, c, o = (np.concatenate([a.ravel(), b]) for a, b in ((self.score, score[i, j]), (self.cell, ids[j]), (self.owner, owners[j])))
+        order = np.lexsort((c, -s, q))
+        first = np.searchsorted(q[order], np.arange(n))
+        take = order[first[:, None] + np.arange(self.k)]
+        self.score, self.cell, self.owner = s[take], c[take], o[take]
+
+    def rows(self) -> pa.RecordBatch:
+        keep = ~np.isneginf(self.score)
+        score = self.score[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, keep.sum(1))), pa.array(self.cell[keep]), pa.array(self.owner[keep]), pa.array(np.where(score == _LAST, np.nan, score))], ["query_id", "cell_id", "owner", "score"])
+
+
+def _scan(how: str, n: int, k: int, same_owner: bool | str, skip_self: bool, int8: bool):
+    """The k best of each query in each place of the grid; a place's queries come before its cells."""
+
+    def score(q: _Best, r: dict, x, codes) -> np.ndarray:
+        if int8:
+            (a, p), (b, s) = q.codes, codes
+            dots = (a @ b.T) * p[:, None] * s
+        else:
+            dots = q.x @ x.T
+        dots /= np.sqrt(r["dim"])
+        ids, owners, sizes = (np.frombuffer(r[c], np.int64) for c in ("ids", "owners", "sizes"))
+        out = np.round(_reduce(dots, q.at, np.cumsum(sizes) - sizes, how, n), DECIMALS) + 0.0
+        weights = np.frombuffer(r["weights"])
+        if not np.isnan(weights).all():
+            out = np.round(out * np.where(np.isnan(weights), 1.0, weights), DECIMALS) + 0.0
+        out[np.isnan(out)] = _LAST
+        if same_owner == "other":
+            out[q.owners[:, None] == owners] = -np.inf
+        elif same_owner:
+            out[q.owners[:, None] != owners] = -np.inf
+        if skip_self:
+            out[q.ids[:, None] == ids] = -np.inf
+        q.add(out, ids, owners)
+
     def work(batches):
+        place, held = None, {}
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, q_own, q_n, ids, own, c_n = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_owners", "q_sizes", "c_ids", "c_owners", "c_sizes"))
-                dim = r["q_dim"]
-                s = np.frombuffer(r["q_vectors"]).reshape(-1, dim) @ np.frombuffer(r["c_vectors"]).reshape(-1, dim).T / np.sqrt(dim)
-                score = np.round(_reduce(s, np.cumsum(q_n) - q_n, np.cumsum(c_n) - c_n, how, n), DECIMALS) + 0.0
-                off = np.zeros(score.shape, bool)
-                if same_owner:
-                    off |= q_own[:, None] != own
-                if skip_self:
-                    off |= q_ids[:, None] == ids
-                score = np.where(off, -np.inf, score)
-                by_id = np.argsort(ids, kind="stable")
-                order = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
-                best = np.take_along_axis(score, order, 1)
-                keep = ~np.isneginf(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(1))), pa.array(ids[order][keep]), pa.array(own[order][keep]), pa.array(best[keep])], ["query_id", "cell_id", "owner", "score"])
+                if r["place"] != place:
+                    for q in held.values():
+                        yield from (b.rows() for b in q)
+                    place, held = r["place"], {}
+                if r["kind"] == 0:
+                    held.setdefault(r["dim"], []).append(_Best(r, k, int8))
+                elif r["dim"] in held:
+                    x = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
+                    codes = _int8(x) if int8 else None
+                    for q in held[r["dim"]]:
+                        score(q, r, x, codes)
+        for q in held.values():
+            yield from (b.rows() for b in q)
 
     return work
 
 
-def search(queries: DataFrame, cells: DataFrame, k: int, how: str = "top_mean", n: int = 5, same_owner: bool = True, skip_self: bool = False, block: int = BLOCK_TOKENS) -> DataFrame:
+def grid_of(vectors_q: int, bytes_q: int, vectors_c: int, blocks_c: int, tasks: int) -> tuple[int, int]:
+    """(groups of query blocks, groups of cell blocks): as few of the first as a task's memory allows, and of the second what keeps all tasks busy and each one's work bounded."""
+    down = max(1, -(-bytes_q // QUERY_BYTES))
+    across = max(min(blocks_c, -(-tasks // down)), -(-vectors_q * vectors_c // (down * PAIRS)))
+    return down, max(1, across)
+
+
+def search(queries: DataFrame, cells: DataFrame, k: int, how: str = "top_mean", n: int = 5, same_owner: bool | str = True, skip_self: bool = False, block: int = BLOCK_TOKENS, weight: str | None = None, int8: bool = False) -> DataFrame:
     """(query_id, rank, cell_id, owner, score): the k best cells of each query.
 
     queries has query_id, owner and tokens, cells has cell_id, owner and tokens (arrays of vectors). A
     pair's score comes from the scaled dots of all its pairs of vectors: the mean of the n largest
-    ("top_mean"), the largest ("max"), or the sum over the query's vectors of the largest ("sum_max").
-    Vectors of other lengths do not meet. k of 0 gives nothing.
+    ("top_mean"), the largest ("max"), or the sum over the query's vectors of the largest ("sum_max"). With
+    `weight`, a column of cells, scores are multiplied by it before they are ranked; with int8 all vectors are
+    quantised to 8 bits, each with a scale of its own. same_owner may be "other", for other owners' cells. Vectors of other lengths do not meet. NaN scores come
+    last. k of 0 gives nothing.
     """
-    q_work, q_schema = _pack("q", block)
-    c_work, c_schema = _pack("c", block)
-    as_rows = lambda df, i: df.select(F.col(i).cast("long"), F.col("owner").cast("long"), F.col("tokens").cast("array<array<double>>"))
-    q = as_rows(queries, "query_id").mapInArrow(q_work, q_schema)
-    c = as_rows(cells, "cell_id").mapInArrow(c_work, c_schema)
-    pairs = q.join(c, q["q_dim"] == c["c_dim"])
-    found = pairs.mapInArrow(_score(how, n, max(k, 1), same_owner, skip_self), "query_id bigint, cell_id bigint, owner bigint, score double")
+    spark = queries.sparkSession
+    as_rows = lambda df, i, w: df.select(F.col(i).cast("long"), F.col("owner").cast("long"), w.cast("double"), F.col("tokens").cast("array<array<double>>"))
+    q = as_rows(queries, "query_id", F.lit(None)).mapInArrow(_pack(0, block), _BLOCK)
+    c = as_rows(cells, "cell_id", F.col(weight) if weight else F.lit(None)).mapInArrow(_pack(1, block), _BLOCK)
+    blocks = written(q.unionByName(c), "blocks")
+    size = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.sum(F.octet_length("vectors")).alias("bytes")).collect()}
+    if len(size) < 2:
+        return spark.createDataFrame([], "query_id bigint, rank int, cell_id bigint, owner bigint, score double")
+    down, across = grid_of(size[0]["n"], size[0]["bytes"], size[1]["n"], size[1]["blocks"], 2 * spark.sparkContext.defaultParallelism)
+    group = lambda m: F.pmod(F.xxhash64("ids", "vectors"), F.lit(m))
+    other = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = blocks.filter("kind = 0").withColumn("y", group(down)).withColumn("z", other(across)).unionByName(blocks.filter("kind = 1").withColumn("y", other(down)).withColumn("z", group(across)))
+    placed = rows.withColumn("place", (F.col("y") * across + F.col("z")).cast("int")).drop("y", "z").repartitionById(down * across, F.col("place")).sortWithinPartitions("place", "kind")
+    found = placed.mapInArrow(_scan(how, n, max(k, 1), same_owner, skip_self, int8), "query_id bigint, cell_id bigint, owner bigint, score double")
     return top(found, ["query_id"], k).select("query_id", "rank", "cell_id", "owner", "score")
 
 
@@ -124,9 +214,9 @@ def one_vector(df: DataFrame, key: str = "key") -> DataFrame:
     return df.withColumn("tokens", F.array(F.col(key)))
 
 
-def brute_force(queries: DataFrame, cells: DataFrame, k: int, same_owner: bool = False, skip_self: bool = False) -> DataFrame:
+def brute_force(queries: DataFrame, cells: DataFrame, k: int, same_owner: bool | str = False, skip_self: bool = False, **options) -> DataFrame:
     """Exact scaled dots on plain keys (column key)."""
-    return search(one_vector(queries), one_vector(cells), k, same_owner=same_owner, skip_self=skip_self)
+    return search(one_vector(queries), one_vector(cells), k, same_owner=same_owner, skip_self=skip_self, **options)
 
 
 def candidates_for(count: int, k: int) -> int:
@@ -140,13 +230,52 @@ def prefilter(queries: DataFrame, cells: DataFrame, keep: int, same_owner: bool
     return search(pooled(queries), pooled(cells), keep, same_owner=same_owner, skip_self=skip_self)
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, cells: DataFrame, k: int, score: Column | None = None) -> DataFrame:
-    """The k best of given candidates (query_id, cell_id), scored exactly on the joined tokens."""
+def _pair_scores(how: str, n: int):
+    """The scores of rows (query_id, cell_id, owner, q, c), by shapes of their arrays."""
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shapes, flat = {}, {}
+            for name in ("q", "c"):
+                outer = batch.column(name)
+                inner = outer.flatten()
+                start = outer.offsets.to_numpy() - outer.offsets[0].as_py()
+                size = np.diff(start)
+                at = inner.offsets.to_numpy() - inner.offsets[0].as_py()
+                flat[name] = inner.flatten().to_numpy(zero_copy_only=False)
+                dim = np.array([at[a + 1] - at[a] if m else 0 for a, m in zip(start, size)])
+                shapes[name] = size, dim, at[np.minimum(start[:-1], len(at) - 1)]
+            (q_n, q_d, q_at), (c_n, c_d, c_at) = shapes["q"], shapes["c"]
+            score = np.full(batch.num_rows, np.nan)
+            sound = (q_n > 0) & (c_n > 0) & (q_d == c_d) & (q_d > 0)
+            kinds = np.unique(np.stack([q_n, c_n, q_d], 1)[sound], axis=0)
+            for m, p, d in kinds:
+                rows = np.flatnonzero(sound & (q_n == m) & (c_n == p) & (q_d == d))
+                a = flat["q"][q_at[rows][:, None] + np.arange(m * d)].reshape(-1, m, d)
+                b = flat["c"][c_at[rows][:, None] + np.arange(p * d)].reshape(-1, p, d)
+                dots = a @ b.transpose(0, 2, 1) / np.sqrt(d)
+                if how == "max":
+                    score[rows] = dots.max((1, 2))
+                elif how == "sum_max":
+                    score[rows] = dots.max(2).sum(1)
+                else:
+                    take = min(n, m * p)
+                    score[rows] = -np.partition(-dots.reshape(len(rows), -1), take - 1, axis=1)[:, :take].sum(1) / take
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_id", "cell_id", "owner")), pa.array(np.round(score, DECIMALS) + 0.0)], ["query_id", "cell_id", "owner", "score"])
+
+    return work
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, cells: DataFrame, k: int, score: Column | None = None, how: str = "top_mean", n: int = 5) -> DataFrame:
+    """The k best of given candidates (query_id, cell_id), scored exactly on the joined tokens; by a column of q and c if one is given."""
     q = queries.select("query_id", F.col("tokens").cast("array<array<double>>").alias("q"))
-    c = cells.select("cell_id", "owner", F.col("tokens").cast("array<array<double>>").alias("c"))
-    scored = candidates.select("query_id", "cell_id").join(q, "query_id").join(c, "cell_id")
-    value = V.top_mean(V.pair_scores(F.col("q"), F.col("c"))) if score is None else score
-    return top(scored.select("query_id", "cell_id", "owner", F.round(value, DECIMALS).alias("score")), ["query_id"], k)
+    c = cells.select("cell_id", F.col("owner").cast("long").alias("owner"), F.col("tokens").cast("array<array<double>>").alias("c"))
+    met = candidates.select("query_id", "cell_id").join(q, "query_id").join(c, "cell_id").select(F.col("query_id").cast("long"), F.col("cell_id").cast("long"), "owner", "q", "c")
+    if score is not None:
+        return top(met.select("query_id", "cell_id", "owner", F.round(score, DECIMALS).alias("score")), ["query_id"], k)
+    return top(met.mapInArrow(_pair_scores(how, n), "query_id bigint, cell_id bigint, owner bigint, score double"), ["query_id"], k)
 
 
 def two_phase(queries: DataFrame, cells: DataFrame, k: int, count: int, same_owner: bool = True, skip_self: bool = False) -> DataFrame:
@@ -170,6 +299,20 @@ def staged(stages: list[DataFrame], k: int) -> DataFrame:
     return top(out, ["query_id"], k)
 
 
+def staged_search(queries: DataFrame, stages: list, k: int) -> DataFrame:
+    """Stages f(queries) in order, each asked only for the queries that the ones before left with fewer than k cells; (query_id, rank, cell_id, owner, score, stage)."""
+    out = None
+    for no, stage in enumerate(stages):
+        if out is not None:
+            full = out.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+            queries = written(queries.join(full, "query_id", "left_anti"), "left")
+            if queries.isEmpty():
+                break
+        new = stage(queries).select("query_id", "cell_id", "owner", "score", F.lit(no).alias("stage"))
+        out = written(new if out is None else out.unionByName(new.join(out.select("query_id", "cell_id"), ["query_id", "cell_id"], "left_anti")), "stage")
+    return top(out, ["query_id"], k)
+
+
 class Retriever:
     """What a pluggable retriever offers: search over a table of cells given once."""
 

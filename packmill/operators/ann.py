@@ -1,23 +1,26 @@
-"""Approximate search over sharded neighbour graphs.
+"""Approximate search over sharded neighbour graphs, which are built once and kept as a table.
 
-Cells are spread over shards; each shard is a graph of its own (pruned nearest neighbours, entered
-at the cell nearest to the shard's centre), built and searched in one worker. A query visits all
-shards and the results are merged, so shards bound the memory of a worker at any number of cells.
+Cells are spread over shards by a hash; each shard is a graph of its own (pruned nearest neighbours,
+entered at the cell nearest to the shard's centre), one row of the table. A query visits all shards (with
+owners, those of its owner) and the results are merged, so shards bound the memory of a worker at any
+number of cells. New cells are wired into their shards one by one, as an online index does it.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packmill.functions import vectors as V
 from packmill.operators.refine import mean_vector
 from packmill.operators.retrieval import DECIMALS, brute_force, search, top
-from packmill.sources.shared import written
+from packmill.sources.shared import exists, new_dir, written
 
 DEGREE, ALPHA, ACTIVE_FROM, SHARD = 16, 1.2, 10_000, 20_000
 
@@ -87,43 +90,174 @@ def beam(query: np.ndarray, vectors: np.ndarray, edges: list[list[int]], entry:
     return rows[order], dots[order]
 
 
+def insert(vectors: np.ndarray, edges: list[list[int]], entry: int, new: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> tuple[np.ndarray, list[list[int]], int]:
+    """(vectors, neighbours, entry) after new vectors are wired in one by one: neighbours come from a search of the graph, pruned, and edges go both ways."""
+    edges = [list(e) for e in edges]
+    have, n = np.concatenate([vectors, new]) if len(vectors) else new.copy(), len(vectors)
+    for v in new:
+        found = beam(v, have[:n], edges, entry, 3 * degree)[0] if n else np.zeros(0, np.int64)
+        kept = [int(found[i]) for i in prune(v, have[found], degree, alpha)] if len(found) else []
+        edges.append(kept)
+        for j in kept:
+            edges[j].append(n)
+            if len(edges[j]) > 2 * degree:
+                others = have[edges[j]]
+                edges[j] = [edges[j][i] for i in prune(have[j], others, 2 * degree, alpha)]
+        n += 1
+    return have, edges, int(np.argmax(have @ have.mean(0))) if len(have) else 0
+
+
+_SHARD = "part bigint, owner bigint, n int, dim int, entry int, ids binary, owners binary, vectors binary, counts binary, edges binary"
+
+
+def _row(part: int, owner, ids: np.ndarray, owners: np.ndarray, vectors: np.ndarray, edges: list, entry: int) -> dict:
+    flat = np.array([j for e in edges for j in e], np.int32)
+    return {"part": part, "owner": owner, "n": len(ids), "dim": vectors.shape[1], "entry": entry, "ids": ids.astype(np.int64).tobytes(), "owners": owners.astype(np.int64).tobytes(), "vectors": vectors.astype(np.float64).tobytes(), "counts": np.array([len(e) for e in edges], np.int32).tobytes(), "edges": flat.tobytes()}
+
+
+def _graph(r) -> tuple:
+    """(ids, owners, vectors, neighbours, entry) of a shard's row."""
+    flat, ends = np.frombuffer(r["edges"], np.int32), np.cumsum(np.frombuffer(r["counts"], np.int32))
+    edges = [flat[a:b].tolist() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["owners"], np.int64), np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"]), edges, r["entry"]
+
+
+def _placed(cells: DataFrame, shards: int, by_owner: bool) -> DataFrame:
+    part = F.xxhash64(F.struct(F.col("owner").cast("long") if by_owner else F.lit(0).cast("long"), F.pmod(F.xxhash64(F.col("cell_id").cast("long")), F.lit(shards))))
+    fine = F.col("cell_id").isNotNull() & (F.size("key") > 0) & ~F.exists("key", lambda x: x.isNull())
+    placed = cells.select(part.alias("part"), F.col("cell_id").cast("long").alias("cell_id"), F.col("owner").cast("long").alias("owner"), F.col("key").cast("array<double>").alias("key"))
+    return placed.filter(fine)
+
+
+class Graphs:
+    """Neighbour graphs of cells (cell_id, owner, key), kept in a folder: save by build(), then load and search as often as wanted."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        if not exists(spark, f"{self.path}/about"):
+            raise FileNotFoundError(f"{path} holds no graphs")
+        about = spark.read.schema("shards int, by_owner boolean, version string, turn bigint").parquet(f"{self.path}/about").orderBy(F.desc("turn")).first()
+        self.shards, self.by_owner, self.version, self.turn = about["shards"], about["by_owner"], about["version"], about["turn"]
+        self.table = spark.read.schema(_SHARD).parquet(f"{self.path}/{self.version}")
+
+    @classmethod
+    def build(cls, cells: DataFrame, path: str, by_owner: bool = False, shard: int = SHARD) -> Graphs:
+        """Vectors of a shard have one length; those of other lengths than its most common one are left out."""
+        shards = max(1, math.ceil(cells.count() / shard))
+
+        def work(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("cell_id")
+            size = rows["key"].map(len)
+            rows = rows[size == size.mode()[0]]
+            vectors = np.stack(rows["key"].to_numpy())
+            edges, entry = build(vectors)
+            owners = rows["owner"].fillna(-1).to_numpy().astype(np.int64)
+            return pd.DataFrame([_row(int(rows["part"].iloc[0]), int(owners[0]) if by_owner else None, rows["cell_id"].to_numpy(), owners, vectors, edges, entry)])
+
+        made = _placed(cells, shards, by_owner).groupBy("part").applyInPandas(work, _SHARD)
+        cls._save(cells.sparkSession, path.rstrip("/"), made, shards, by_owner, 0)
+        return cls(cells.sparkSession, path)
+
+    @staticmethod
+    def _save(spark: SparkSession, path: str, table: DataFrame, shards: int, by_owner: bool, turn: int) -> None:
+        """The graphs first, then the row that names them: readers see the old ones or the new ones."""
+        version = uuid.uuid4().hex
+        table.write.parquet(f"{path}/{version}")
+        spark.createDataFrame([(shards, by_owner, version, turn)], "shards int, by_owner boolean, version string, turn bigint").coalesce(1).write.mode("append").parquet(f"{path}/about")
+
+    def insert(self, cells: DataFrame) -> Graphs:
+        """The graphs with new cells wired in; a cell that is there already stays as it is. Shards without new cells are copied as they are."""
+        new = _placed(cells, self.shards, self.by_owner)
+        by_owner = self.by_owner
+
+        def work(have: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+            more = more.sort_values("cell_id").drop_duplicates("cell_id")
+            if len(have):
+                ids, owners, vectors, edges, entry = _graph(have.iloc[0])
+                more = more[~more["cell_id"].isin(ids) & (more["key"].map(len) == vectors.shape[1])]
+            elif len(more):
+                size = more["key"].map(len)
+                more = more[size == size.mode()[0]]
+                ids, owners, vectors, edges, entry = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(more["key"].iloc[0]))), [], 0
+            if not len(more):
+                return have
+            vectors, edges, entry = insert(vectors, edges, entry, np.stack(more["key"].to_numpy()))
+            added = more["owner"].fillna(-1).to_numpy().astype(np.int64)
+            part = int(have["part"].iloc[0] if len(have) else more["part"].iloc[0])
+            return pd.DataFrame([_row(part, int(added[0]) if by_owner else None, np.concatenate([ids, more["cell_id"].to_numpy()]), np.concatenate([owners, added]), vectors, edges, entry)])
+
+        made = self.table.groupBy("part").cogroup(new.groupBy("part")).applyInPandas(work, _SHARD)
+        self._save(self.spark, self.path, made, self.shards, self.by_owner, self.turn + 1)
+        return Graphs(self.spark, self.path)
+
+    def edges(self) -> DataFrame:
+        """(src, dst, rank): every cell's neighbours."""
+
+        def work(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ids, _, _, edges, _ = _graph(r)
+                    src = np.repeat(ids, [len(e) for e in edges])
+                    dst = ids[np.array([j for e in edges for j in e], np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.array([i + 1 for e in edges for i in range(len(e))], np.int64))], ["src", "dst", "rank"])
+
+        return self.table.mapInArrow(work, "src bigint, dst bigint, rank bigint")
+
+    def search(self, queries: DataFrame, k: int, skip_self: bool = False, width: int | None = None, block: int = 1024) -> DataFrame:
+        """(query_id, rank, cell_id, owner, score) for queries (query_id, owner, key): blocks of queries meet each shard, or their owner's shards."""
+        by_owner = self.by_owner
+        beam_width = width or 4 * max(k, DEGREE)
+
+        def pack(batches):
+            for batch in batches:
+                rows = [r for r in batch.to_pylist() if r["query_id"] is not None and r["q"] and None not in r["q"]]
+                kinds: dict = {}
+                for r in rows:
+                    kinds.setdefault((r["q_owner"] if by_owner else None, len(r["q"])), []).append(r)
+                for (owner, dim), some in kinds.items():
+                    for a in range(0, len(some), block):
+                        ids, x = np.array([r["query_id"] for r in some[a : a + block]], np.int64), np.array([r["q"] for r in some[a : a + block]], np.float64)
+                        yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["q_owner", "q_dim", "q_ids", "q"])
+
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("owner").cast("long").alias("q_owner"), F.col("key").cast("array<double>").alias("q"))
+        blocks = written(asked.mapInArrow(pack, "q_owner bigint, q_dim int, q_ids binary, q binary"), "asked")
+
+        def work(batches):
+            last, graph = None, None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["part"] != last:
+                        last, graph = r["part"], _graph(r)
+                    ids, owners, vectors, edges, entry = graph
+                    out = []
+                    for i, v in zip(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, r["q_dim"])):
+                        rows, dots = beam(v, vectors, edges, entry, beam_width)
+                        hit = [(int(i), int(ids[j]), int(owners[j]), round(float(x) / math.sqrt(len(v)), DECIMALS)) for j, x in zip(rows, dots) if not (skip_self and ids[j] == i)]
+                        out += hit[:k]
+                    kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["query_id", "cell_id", "owner", "score"])
+
+        # each block is sent to its shards by their number, so shards spread over tasks whatever the join
+        parts = self.table.select("part", F.col("owner").alias("p_owner"), F.col("dim").alias("p_dim"))
+        sent = blocks.join(parts, (F.col("p_dim") == F.col("q_dim")) & (F.col("p_owner") == F.col("q_owner")) if by_owner else F.col("p_dim") == F.col("q_dim"))
+        met = sent.select("part", "q_dim", "q_ids", "q").repartition("part").join(self.table, "part")
+        found = met.select("part", "n", "dim", "entry", "ids", "owners", "vectors", "counts", "edges", "q_dim", "q_ids", "q").mapInArrow(work, "query_id bigint, cell_id bigint, owner bigint, score double")
+        return top(found, ["query_id"], k).select("query_id", "rank", "cell_id", "owner", "score")
+
+
 def ann_search(queries: DataFrame, cells: DataFrame, k: int, same_owner: bool = False, skip_self: bool = False, shard: int = SHARD, width: int | None = None) -> DataFrame:
-    """(query_id, rank, cell_id, owner, score) of plain keys by graph search; a shard holds about `shard` cells.
+    """(query_id, rank, cell_id, owner, score) of plain keys by graphs built for this search; Graphs keeps them for more.
 
     With same_owner each owner's cells are graphs of their own, so that an owner's results are not crowded out.
     """
-    shards = max(1, math.ceil(cells.count() / shard))
-    part = F.struct(F.col("owner") if same_owner else F.lit(0), F.pmod(F.xxhash64("cell_id"), F.lit(shards)))
-    c = cells.select(F.xxhash64(part).alias("part"), "cell_id", "owner", F.col("key").cast("array<double>").alias("key"))
-    q = queries.select("query_id", F.col("owner").alias("q_owner"), F.col("key").cast("array<double>").alias("q"))
-    parts = (c.select(F.col("part").alias("p"), "owner") if same_owner else c.select(F.col("part").alias("p"))).distinct()
-    asked = q.join(parts, F.col("q_owner") == F.col("owner")).drop("owner") if same_owner else q.crossJoin(parts)
-    beam_width = width or 4 * max(k, DEGREE)
-
-    def work(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "cell_id", "owner", "score"]
-        if not len(ask) or not len(have):
-            return pd.DataFrame(columns=names)
-        have = have.sort_values("cell_id")
-        vectors = np.stack(have["key"].to_numpy())
-        edges, entry = build(vectors)
-        ids, owners = have["cell_id"].to_numpy(), have["owner"].to_numpy()
-        out = []
-        for i, v in zip(ask["query_id"], ask["q"]):
-            rows, dots = beam(np.asarray(v), vectors, edges, entry, beam_width)
-            hit = [(i, ids[r], owners[r], round(float(d) / math.sqrt(len(v)), DECIMALS)) for r, d in zip(rows, dots) if not (skip_self and ids[r] == i)]
-            out += hit[:k]
-        return pd.DataFrame(out, columns=names)
-
-    found = asked.groupBy("p").cogroup(c.groupBy("part")).applyInPandas(work, "query_id bigint, cell_id bigint, owner bigint, score double")
-    return top(found, ["query_id"], k).select("query_id", "rank", "cell_id", "owner", "score")
+    graphs = Graphs.build(cells, new_dir(cells.sparkSession, "graphs"), same_owner, shard)
+    return graphs.search(queries, k, skip_self, width)
 
 
 def planned(queries: DataFrame, cells: DataFrame, k: int, active_from: int = ACTIVE_FROM, **options) -> DataFrame:
-    """Exact below `active_from` cells, graphs from there on."""
-    if cells.count() < active_from:
-        return brute_force(queries, cells, k, **options)
-    return ann_search(queries, cells, k, **options)
+    """Exact below `active_from` cells, graphs from there on; the column `exact` says which."""
+    exact = cells.count() < active_from
+    return (brute_force if exact else ann_search)(queries, cells, k, **options).withColumn("exact", F.lit(exact))
 
 
-__all__ = ["ann_search", "beam", "build", "medoid", "neighbours", "planned", "prune", "search", "written"]
+__all__ = ["Graphs", "ann_search", "beam", "build", "insert", "medoid", "neighbours", "planned", "prune", "search"]

@@ -5,8 +5,14 @@ Result rows: (system, dataset, category, item_id, replicate, status, score). Ran
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from packmill.sources.shared import written
 
 KS = (1, 5, 10)
 CUTOFFS = (1, 3, 5, 10, 20, 50, 100)
@@ -111,18 +117,53 @@ def gate(rows: DataFrame, warn: float = 0.05, fail: float = 0.20) -> DataFrame:
     return got.select("*", F.round(ratio, 6).alias("non_ok_ratio"), F.when(ratio >= fail, "fail").when(ratio >= warn, "warn").otherwise("pass").alias("verdict"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+#: Bytes of the queries' terms that workers are sent; more of them are joined.
+TERM_BYTES = 64 << 20
+
+
+def _counted(sent):
+    """(doc_id, dl, term, tf): how often each document has the terms asked for, by their numbers; and for each batch a row of term -1 with its words and documents."""
+
+    def work(batches):
+        terms = pa.array(sent.value, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            size = np.diff(at)
+            number = pc.index_in(lists.flatten(), value_set=terms)
+            hit = np.flatnonzero(pc.is_valid(number).to_numpy(zero_copy_only=False))
+            doc = np.searchsorted(at, hit, "right") - 1
+            key, tf = np.unique(doc * (len(terms) + 1) + number.take(pa.array(hit)).to_numpy(), return_counts=True)
+            doc, term = np.divmod(key, len(terms) + 1)
+            ids = pa.concat_arrays([batch.column("doc_id").take(pa.array(doc)), pa.nulls(1, batch.schema.field("doc_id").type)])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.append(size[doc], size.sum())), pa.array(np.append(term, -1)), pa.array(np.append(tf, len(size)))], ["doc_id", "dl", "term", "tf"])
+
+    return work
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, limit: int = TERM_BYTES) -> DataFrame:
     """(query_id, doc_id, score): queries and docs with `terms`, arrays of words; pairs without a common term are left out.
 
-    Document frequencies and lengths are aggregates over all documents; only documents that share a term
-    with a query are joined.
+    One pass over the documents counts the terms that some query has and drops all others where they are;
+    document frequencies and lengths are over all documents. Only documents that share a term with a query are joined.
     """
-    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    tf = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    used = tf.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    met = asked.join(df, "term").join(used, "term").crossJoin(F.broadcast(n))
+    asked = queries.select("query_id", F.explode("terms").alias("word")).filter("word is not null").distinct()
+    words = asked.select("word").distinct()
+    docs = docs.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    if (words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0) <= limit:
+        have = sorted(r["word"] for r in words.collect())
+        spark = docs.sparkSession
+        tf = written(docs.mapInArrow(_counted(spark.sparkContext.broadcast(have)), T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("dl", "term", "tf"))])), "terms")
+        n = tf.filter("term = -1").agg(F.sum("tf").alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
+        tf = tf.filter("term >= 0")
+        asked = asked.join(F.broadcast(spark.createDataFrame(list(enumerate(have)), "term bigint, word string")), "word").select("query_id", "term")
+    else:
+        n = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+        every = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("word")).join(words, "word", "left_semi")
+        tf = written(every.groupBy("doc_id", "dl", "word").agg(F.count("*").alias("tf")).withColumnRenamed("word", "term"), "terms")
+        asked = asked.withColumnRenamed("word", "term")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    met = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(n))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.functions import texts as X, vectors as V
-from packmill.operators import evaluate as E, fusion, retrieval as R
+from packmill.functions import support, texts as X, vectors as V
+from packmill.operators import answering, evaluate as E, fusion, retrieval as R
 from packmill.queries.base import CELLS, PACKS, as_queries, cells, mcells, packs, query, table
 
 _T = "text IS NOT NULL"
@@ -78,12 +78,30 @@ def summary(spark, d):
     return sentences(spark, d).select("item_id", "no", X.summary(F.col("text")).alias("summary"))
 
 
-@query("F37_question")
+_FRAME = "[" + ", ".join(f"'{w}'" for w in X.STOPS) + "]"
+_ACTS = " OR ".join(f"contains(lower({{0}}), '{v}')" for v in X.VERBS)
+
+
+def _question(text: str) -> str:
+    words = f"list_transform(list_filter(regexp_split_to_array(trim({text}), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[,;:.!?]$', ''))"
+    end = f"least(4, len({words}), coalesce(list_min(list_filter(range(2, len({words}) + 1), lambda i: list_contains({_FRAME}, lower(({words})[i])))) - 1, 4))"
+    subject = f"array_to_string(({words})[1:{end}], ' ')"
+    return f"CASE WHEN {_ACTS.format(text)} THEN 'What did ' || {subject} || ' do?' ELSE 'What is known about ' || {subject} || '?' END"
+
+
+def _paraphrase(text: str) -> str:
+    out = f"array_to_string(list_reverse(regexp_split_to_array(trim({text}), '[,;]\\s*')), ', ')"
+    for word, other in X.REWORD:
+        out = f"regexp_replace({out}, '\\b{word}\\b', '{other}', 'gi')"
+    return out
+
+
+@query("F37_question", f"WITH {_SENT} SELECT item_id, no, {_question('text')} AS question FROM sent")
 def question(spark, d):
     return sentences(spark, d).select("item_id", "no", X.question(F.col("text")).alias("question"))
 
 
-@query("F38_paraphrase")
+@query("F38_paraphrase", f"WITH {_SENT} SELECT item_id, no, {_paraphrase('text')} AS paraphrase FROM sent")
 def paraphrase(spark, d):
     return sentences(spark, d).select("item_id", "no", X.paraphrase(F.col("text")).alias("paraphrase"))
 
@@ -214,10 +232,57 @@ def rerank(spark, d):
     return fusion.rerank_by_text(rows, X.word_overlap).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
 
 
-@query("C1_consolidation_views")
+_SUMMARY = f"CASE WHEN {_CUT} IS NOT NULL THEN trim(left({_TRIM}, {_CUT})) WHEN length({_TRIM}) > 60 AND {_SPACE} > 10 AND {_SPACE} < 60 THEN trim(left({_TRIM}, {_SPACE})) ELSE trim(left({_TRIM}, 60)) END"
+
+
+@query("C1_consolidation_views", f"WITH RECURSIVE {PACKS}, framed AS (SELECT pack_id, [{_SUMMARY}, {_question('text')}, {_paraphrase('text')}] AS x FROM packs JOIN documents ON doc_id = pack_id WHERE tier >= 1 AND trim(text) <> ''), once AS (SELECT pack_id, {_UNIQUE.format('x')} AS x FROM framed) SELECT pack_id, generate_subscripts(x, 1) - 1 AS view, unnest(x) AS view_text FROM once")
 def consolidation(spark, d):
     """Validated packs with a text get three framings of it."""
     t = table(spark, d, "documents").filter("trim(text) <> ''").select(F.col("doc_id").alias("pack_id"), "text")
     p = packs(spark, d).filter("tier >= 1").join(t, "pack_id")
     text = F.col("text")
     return p.select("pack_id", F.posexplode(F.array_distinct(F.array(X.summary(text), X.question(text), X.paraphrase(text)))).alias("view", "view_text")).withColumn("view", F.col("view").cast("long"))
+
+
+# What surrounds a run
+
+
+@query("X1_text_keys", "SELECT doc_id, i, round(('0x' || substr(md5(i || '|' || coalesce(text, '')), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1, 6) AS x FROM documents, range(8) r(i)")
+def text_keys(spark, d):
+    """A key for each document from its text alone: the capture function where there is no model."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(support.text_key(F.col("text"))).alias("i", "x"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("R23_retrieve_then_read", f"WITH l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations WHERE {_T}), n AS (SELECT DISTINCT conv_id FROM conversations), e AS (SELECT n.conv_id, max(rank) AS shown, count(*) FILTER (conv_id % 4 <> 1 AND trim(text) <> '' AND rank <= 25) AS usable FROM n LEFT JOIN l USING (conv_id) GROUP BY n.conv_id) SELECT conv_id AS query_id, CASE WHEN conv_id % 5 = 0 THEN 'skipped' WHEN conv_id % 4 = 1 OR usable = 0 THEN 'failed' WHEN conv_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN conv_id % 5 = 0 THEN 'asked not to' WHEN conv_id % 4 = 1 OR usable = 0 THEN 'no_evidence' WHEN conv_id % 3 = 0 THEN 'generator_failed' END AS error, CASE WHEN conv_id % 5 <> 0 AND conv_id % 4 <> 1 AND usable > 0 AND conv_id % 3 <> 0 THEN 'about ' || conv_id ELSE '' END AS answer, least(CASE WHEN conv_id % 4 = 1 THEN 0 ELSE coalesce(shown, 0) END, 5) AS shown FROM e")
+def read_answers(spark, d):
+    """Conversations as items, their turns as results; every fourth has none, and a generator that fails for every third."""
+    c = table(spark, d, "conversations")
+    items = c.select(F.col("conv_id").alias("query_id")).distinct().select("query_id", F.concat(F.lit("about "), F.col("query_id").cast("string")).alias("question"), F.when(F.col("query_id") % 5 == 0, "skipped").otherwise("ok").alias("status"), F.when(F.col("query_id") % 5 == 0, "asked not to").alias("error"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    results = turn_texts(spark, d).select(F.col("conv_id").alias("query_id"), F.row_number().over(w).alias("rank"), "text").filter("query_id % 4 <> 1")
+    asked = lambda prompt: F.regexp_extract(prompt, r"Question: (about \d+)\n", 1)
+    reader = lambda prompt: F.when(F.regexp_extract(asked(prompt), r"(\d+)", 1).cast("long") % 3 != 0, asked(prompt))
+    got = answering.retrieve_then_read(items, results, reader)
+    return got.select("query_id", "status", "error", "answer", F.size("evidence").cast("long").alias("shown"))
+
+
+@query("DX18_retry_delays", "SELECT i AS retry, 0.5::DOUBLE * pow(2, i) AS delay FROM range(4) r(i)")
+def retry_delays(spark, d):
+    """What a call that fails five times waits for."""
+    waits: list = []
+
+    def fails():
+        raise OSError("no")
+
+    try:
+        support.retrying(fails, attempts=5, delay=0.5, factor=2.0, sleep=waits.append)()
+    except support.Exhausted:
+        return spark.createDataFrame(list(enumerate(waits)), "retry bigint, delay double")
+
+
+@query("F51_expanded_configuration", "SELECT * FROM (VALUES ('inner', 'value'), ('list', 'value'), ('missing', ''), ('part', 'x${NAME}'), ('plain', 'plain')) t(key, value)")
+def expanded(spark, d):
+    got = support.expand_env({"plain": "plain", "part": "x${NAME}", "missing": "${OTHER}", "deep": {"inner": "${NAME}"}, "list": [{"x": "${NAME}"}]}, {"NAME": "value"})
+    flat = {"plain": got["plain"], "part": got["part"], "missing": got["missing"], "inner": got["deep"]["inner"], "list": got["list"][0]["x"]}
+    return spark.createDataFrame(sorted(flat.items()), "key string, value string")

@@ -93,9 +93,26 @@ def feedback(queries: DataFrame, cells: DataFrame, k: int, alpha: float = 0.7, b
     return search(moved, cells, k, **options)
 
 
-def refine(mode: str, queries: DataFrame, cells: DataFrame, k: int, **options) -> DataFrame:
-    """Search under a refinement mode or one of its aliases."""
+_STRATEGIES = {"none": search, "centered": centered, "whitened": whitened, "prf": feedback}
+
+
+def register(name: str, strategy, aliases: tuple = ()) -> None:
+    """Adds a refinement strategy: f(queries, cells, k, **options), as search() is."""
+    for alias in (name, *aliases):
+        if alias.lower() in MODES:
+            raise ValueError(f"there is a refinement mode {alias!r} already")
+    _STRATEGIES[name.lower()] = strategy
+    MODES.update(dict.fromkeys((a.lower() for a in (name, *aliases)), name.lower()))
+
+
+def known(mode: str) -> str:
+    """The name of a mode or of one of its aliases."""
     name = MODES.get(mode.lower())
     if name is None:
         raise ValueError(f"unknown refinement mode {mode!r}; known are {sorted(MODES)}")
-    return {"none": search, "centered": centered, "whitened": whitened, "prf": feedback}[name](queries, cells, k, **options)
+    return name
+
+
+def refine(mode: str, queries: DataFrame, cells: DataFrame, k: int, **options) -> DataFrame:
+    """Search under a refinement mode or one of its aliases."""
+    return _STRATEGIES[known(mode)](queries, cells, k, **options)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packmill.functions import governance as G, vectors as V
 from packmill.operators import graph, packs as P, refine, retrieval as R
 from packmill.sources import store as ST
+from packmill.sources.shared import written
 
 
 class Engine:
@@ -22,9 +23,7 @@ class Engine:
         self.set_refinement_mode(refinement)
 
     def set_refinement_mode(self, mode: str) -> None:
-        if mode.lower() not in refine.MODES:
-            raise ValueError(f"unknown refinement mode {mode!r}")
-        self.refinement_mode = refine.MODES[mode.lower()]
+        self.refinement_mode = refine.known(mode)
 
     def _next(self, name: str, column: str, first: int) -> int:
         top = self.store.read(name).agg(F.max(column)).first()[0]
@@ -35,17 +34,45 @@ class Engine:
 
     # Writes
 
+    def next_pack(self) -> int:
+        return self._next("packs", "pack_id", 1)
+
     def write_packs(self, rows: DataFrame) -> DataFrame:
         """Appends packs (row_no, owner, tokens, salience, text, layers); gives (row_no, pack_id)."""
-        from packmill.sources.shared import written
+        placed = written(P.number(rows, "pack_id", ["row_no"], self.next_pack()), "packs")
+        self.append_packs(placed)
+        return placed.select("row_no", "pack_id")
 
-        placed = written(P.number(rows, "pack_id", ["row_no"], self._next("packs", "pack_id", 1)), "packs")
+    def append_packs(self, placed: DataFrame) -> None:
+        """Appends packs that have their pack_id. The table of packs comes last: a pack is there when all of it is."""
         g = G.written(F.col("salience").cast("double"))
-        self.store.append("packs", placed.select("pack_id", "owner", "salience", g["importance"].alias("importance"), g["tier"].alias("tier")))
         self.store.append("cells", placed.select((F.col("pack_id") * 1024).alias("cell_id"), "pack_id", "owner", F.lit(-1).alias("layer"), V.mean_pool(F.col("tokens").cast("array<array<double>>")).alias("key"), "tokens", F.lit(True).alias("is_retrieval"), F.lit(False).alias("is_view")))
         self.store.append("layers", placed.select("pack_id", F.inline("layers")))
         self.store.append("texts", placed.filter("text is not null").select("pack_id", "text", F.lit(self._seq("texts")).alias("seq")))
-        return placed.select("row_no", "pack_id")
+        self.store.append("packs", placed.select("pack_id", "owner", "salience", g["importance"].alias("importance"), g["tier"].alias("tier")))
+
+    def write_packs_linked(self, rows: DataFrame, threshold: float = 250.0) -> DataFrame:
+        """write_packs(), and an edge from each new pack to the best older one of its owner that scores at least the threshold."""
+        old = self.store.live("cells").filter("is_retrieval").select("cell_id", "owner", "tokens", "pack_id")
+        before = written(old, "before")
+        ids = self.write_packs(rows)
+        asked = rows.join(ids, "row_no").select(F.col("pack_id").alias("query_id"), "owner", "tokens")
+        best = R.search(asked, before, 1).filter(F.col("score") >= threshold).join(before.select("cell_id", "pack_id"), "cell_id")
+        self.add_edges(best.select(F.col("query_id").alias("src"), F.col("pack_id").alias("dst"), F.lit(graph.FOLLOWS).alias("edge_type")))
+        return ids
+
+    def write_cells(self, rows: DataFrame) -> DataFrame:
+        """Single cells (row_no, owner, key, salience): each is a pack of one vector; gives (row_no, pack_id)."""
+        layers = F.array().cast("array<struct<layer_idx: int, data: array<double>>>")
+        return self.write_packs(rows.select("row_no", "owner", F.array(F.col("key").cast("array<double>")).alias("tokens"), "salience", F.lit(None).cast("string").alias("text"), layers.alias("layers")))
+
+    def flush(self) -> None:
+        """A barrier: every append is committed when it returns, so there is nothing left to do."""
+
+    def refresh(self) -> None:
+        """Sees what other writers have committed: state is always derived from the tables, whose file lists are read anew."""
+        for name in ST.SCHEMAS:
+            self.spark.catalog.refreshByPath(self.store.table_path(name))
 
     def add_view_keys(self, views: DataFrame) -> int:
         """More retrieval keys (pack_id, view_no from 1 to 1023, tokens) of packs that exist; how many were added."""
@@ -143,8 +170,37 @@ class Engine:
         return graph.links(self.store.read("edges"), edge_type)
 
     def load_packs(self, ids: DataFrame) -> DataFrame:
+        """Packs with their layers; open_packs() also logs the access."""
         return P.hydrate(self.packs().join(ids, "pack_id", "left_semi"), self.store.read("layers"))
 
+    def open_packs(self, ids: DataFrame) -> DataFrame:
+        """load_packs() of packs (pack_id), each of which is logged as read; KeyError if one does not live."""
+        wanted = ids.select("pack_id").distinct()
+        if not wanted.join(self.packs().select("pack_id"), "pack_id", "left_anti").isEmpty():
+            raise KeyError("a pack does not exist")
+        self.log_access(wanted.select("pack_id", F.lit("read").alias("action"), F.lit(0).alias("days")))
+        return self.load_packs(wanted)
+
+    def read_tokens(self, queries: DataFrame, k: int) -> DataFrame:
+        """The k best cells of queries given as whole matrices (query_id, owner, tokens), governed."""
+        cells = self.store.live("cells").filter("is_retrieval")
+        found = R.search(queries, cells, 2 * k).drop("rank").join(cells.select("cell_id", "pack_id"), "cell_id")
+        return R.top(P.govern(found, self.packs()), ["query_id"], k)
+
+    def store_synapses(self, rows: DataFrame) -> None:
+        self.store.append("synapses", rows)
+
+    def synapses(self, owner: int) -> DataFrame:
+        return self.store.read("synapses").filter(F.col("owner") == owner)
+
+    def snapshot(self, out: str, created_at: int = 0) -> dict:
+        return ST.snapshot(self.store, out, created_at)
+
+    @classmethod
+    def restored(cls, spark: SparkSession, path: str, into: str) -> Engine:
+        ST.restore(spark, path, into)
+        return cls(spark, into)
+
     # Schedule: the last row of an id is its state
 
     def schedule_evict_drafts(self, fires_at: int, threshold: float = 15.0, owner: int | None = None) -> int:

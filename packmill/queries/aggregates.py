@@ -84,7 +84,7 @@ def compare(spark, d):
 
 
 # Gold snippets: an item of the benchmark is a query, its sentences are gold, documents in order of their id stand for results.
-_GOLD = "gold AS (SELECT item_id AS query_id, i AS gold_no, lower(trim(s)) AS g FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark) WHERE trim(s) <> ''), res AS (SELECT b.item_id AS query_id, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id * 7 + b.item_id) % 101, d.doc_id) AS rank, lower(d.text) AS chunk FROM benchmark b, documents d WHERE d.text IS NOT NULL AND d.lang = 'en'), hits AS (SELECT g.query_id, g.gold_no, min(rank) FILTER (contains(chunk, g)) AS first_rank FROM gold g LEFT JOIN res ON res.query_id = g.query_id GROUP BY ALL)"
+_GOLD = "gold AS (SELECT item_id AS query_id, i AS gold_no, lower(trim(s)) AS g FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark) WHERE trim(s) <> ''), res AS (SELECT b.item_id AS query_id, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id * 7 + b.item_id) % 101, d.doc_id) AS rank, lower(d.text) AS chunk FROM benchmark b, documents d WHERE d.text IS NOT NULL), hits AS (SELECT g.query_id, g.gold_no, min(rank) FILTER (contains(chunk, g)) AS first_rank FROM gold g LEFT JOIN res ON res.query_id = g.query_id GROUP BY ALL)"
 
 
 def gold_hits(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -288,8 +288,7 @@ def prefix_budget(spark, d):
 def negatives(spark, d):
     c = cells(spark, d)
     n = R.top(R.brute_force(as_queries(c), c, 1, same_owner=True, skip_self=True), ["query_id"], 1).select("query_id", F.col("score").alias("s"))
-    every = R.brute_force(as_queries(c), c, c.count(), skip_self=True).join(c.select(F.col("cell_id").alias("query_id"), F.col("owner").alias("qo")), "query_id")
-    neg = every.filter("qo <> owner").groupBy("query_id").agg(F.max("score").alias("neg"))
+    neg = R.brute_force(as_queries(c), c, 1, same_owner="other", skip_self=True).select("query_id", F.col("score").alias("neg"))
     pos = n.join(neg, "query_id", "full_outer")
     cut = pos.agg(F.percentile("s", 0.1).alias("c"))
     return pos.crossJoin(F.broadcast(cut)).agg(F.round(F.avg((F.col("neg") >= F.col("c")).cast("int")), 6).alias("false_positive_rate"), F.round(F.avg("s") - F.avg("neg"), 6).alias("gap"))

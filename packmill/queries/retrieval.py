@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from packmill.functions import vectors as V
+from packmill.functions import governance as G, vectors as V
 from packmill.operators import ann, packs as P, refine, retrieval as R
-from packmill.queries.base import CELLS, DOTS, EDGES, LINKS, MCELLS, PACKS, TOKENS, TOP5, as_queries, cells, mcells, pack_cells, pack_edges, packs, query, texts
+from packmill.operators.hotset import HotSet
+from packmill.plans.protocols import StoredCells
+from packmill.queries.base import CELLS, DOTS, EDGES, LINKS, MCELLS, PACKS, TOKENS, TOP5, as_queries, cells, mcells, pack_cells, pack_edges, packs, query, table, texts
+from packmill.sources.shared import new_dir
 
 K = 5
 
@@ -68,6 +71,16 @@ def max_sim(spark, d):
     return _out(R.search(as_queries(c), c, K, how="max", same_owner=False, skip_self=True))
 
 
+_CODES = "s8 AS (SELECT cell_id, tok_at, CASE WHEN list_max(list_transform(t, lambda x: abs(x))) > 0 THEN list_max(list_transform(t, lambda x: abs(x))) / 127 ELSE 1.0::DOUBLE END AS scale, t FROM tok), q8 AS (SELECT cell_id, tok_at, scale, list_transform(t, lambda x: least(greatest(round(x / scale), -127), 127)::DOUBLE) AS q FROM s8)"
+
+
+@query("R2_int8_tokens", f"WITH {MCELLS}, {TOKENS}, {_CODES}, d8 AS (SELECT a.cell_id AS query_id, b.cell_id, list_inner_product(a.q, b.q) * a.scale * b.scale / sqrt(len(a.q)::DOUBLE) AS s FROM q8 a CROSS JOIN q8 b), r8 AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell_id ORDER BY s DESC) AS r FROM d8), scores AS (SELECT query_id, cell_id, round(avg(s), 6) AS score FROM r8 WHERE r <= 5 GROUP BY ALL) {_top('scores')}")
+def int8_tokens(spark, d):
+    """Vectors of queries and cells in 8 bits, each with its own scale; the five best products of a pair count."""
+    c = mcells(spark, d)
+    return _out(R.search(as_queries(c), c, K, same_owner=False, skip_self=True, int8=True))
+
+
 @query("A4_sum_of_max", f"WITH {DOTS}, m AS (SELECT query_id, cell_id, q_at, max(s) AS s FROM dots GROUP BY ALL), scores AS (SELECT query_id, cell_id, round(sum(s), 6) AS score FROM m GROUP BY ALL) {_top('scores')}")
 def sum_of_max(spark, d):
     c = mcells(spark, d)
@@ -90,13 +103,17 @@ def top5_pairs(spark, d):
 _POOLED = f"WITH {TOP5}, pooled AS (SELECT cell_id, list(m ORDER BY i) AS v FROM (SELECT cell_id, i, avg(x) AS m FROM (SELECT cell_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM tok) GROUP BY cell_id, i) GROUP BY cell_id), pre AS (SELECT a.cell_id AS query_id, b.cell_id, row_number() OVER (PARTITION BY a.cell_id ORDER BY round(list_inner_product(a.v, b.v) / sqrt(len(a.v)::DOUBLE), 6) DESC, b.cell_id) AS r FROM pooled a JOIN pooled b ON a.cell_id <> b.cell_id)"
 
 
-@query("R4_candidate_reduction", f"{_POOLED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS rank, cell_id, score FROM scores SEMI JOIN pre ON pre.query_id = scores.query_id AND pre.cell_id = scores.cell_id AND pre.r <= 20 QUALIFY rank <= {K}")
+#: The surveyed rule: all of up to 512 cells, else max(256, 64 k).
+_KEPT = f"(SELECT CASE WHEN count(*) <= {R.PREFILTER_ABOVE} THEN count(*) ELSE least(count(*), greatest({R.PREFILTER_LEAST}, {R.PREFILTER_TIMES * K})) END FROM mcells)"
+
+
+@query("R4_candidate_reduction", f"{_POOLED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS rank, cell_id, score FROM scores SEMI JOIN pre ON pre.query_id = scores.query_id AND pre.cell_id = scores.cell_id AND pre.r <= {_KEPT} QUALIFY rank <= {K}")
 def candidate_reduction(spark, d):
     c = mcells(spark, d)
     return _out(R.two_phase(as_queries(c), c, K, c.count(), same_owner=False, skip_self=True))
 
 
-@query("K5_candidate_limit", f"{_POOLED} SELECT query_id, r AS rank, cell_id FROM pre WHERE r <= 20")
+@query("K5_candidate_limit", f"{_POOLED} SELECT query_id, r AS rank, cell_id FROM pre WHERE r <= {_KEPT}")
 def candidate_limit(spark, d):
     c = mcells(spark, d)
     return R.prefilter(as_queries(c), c, R.candidates_for(c.count(), K), same_owner=False, skip_self=True).select("query_id", F.col("rank").cast("long").alias("rank"), "cell_id")
@@ -160,10 +177,9 @@ def mem_read(spark, d):
 
 @query("K4_top_k_after_governance", f"WITH RECURSIVE {TOP5}, {PACKS}, g AS (SELECT s.query_id, s.cell_id, round(s.score * {_DECAY}, 6) AS score FROM scores s JOIN packs p ON p.pack_id = s.cell_id + 1) {_top('g')}")
 def after_governance(spark, d):
-    c = mcells(spark, d)
-    n = c.count()
-    found = R.search(as_queries(c), c, n, same_owner=False, skip_self=True).drop("rank").withColumn("pack_id", F.col("cell_id") + 1)
-    return _out(R.top(P.govern(found, packs(spark, d)), ["query_id"], K))
+    g = packs(spark, d).select((F.col("pack_id") - 1).alias("cell_id"), G.governed(F.lit(1.0), F.col("days"), F.col("tier")).alias("w"))
+    c = mcells(spark, d).join(g, "cell_id")
+    return _out(R.search(as_queries(c), c, K, same_owner=False, skip_self=True, weight="w"))
 
 
 _BOOST = f"WITH RECURSIVE {TOP5}, {PACKS}, {EDGES}, {LINKS}, deg AS (SELECT pack_id, count(*) AS links FROM links GROUP BY 1), own AS (SELECT s.query_id, s.cell_id + 1 AS pack_id, s.score AS raw, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.cell_id) AS r FROM scores s JOIN mcells a ON a.cell_id = s.query_id JOIN mcells b ON b.cell_id = s.cell_id WHERE a.owner = b.owner), best AS (SELECT o.query_id, o.pack_id, round(o.raw * (1 + coalesce(deg.links, 0) * 0.3::DOUBLE) * {_DECAY}, 6) AS score, coalesce(deg.links, 0)::BIGINT AS links, p.tier FROM own o JOIN packs p ON p.pack_id = o.pack_id LEFT JOIN deg ON deg.pack_id = o.pack_id WHERE r <= {5 * K})"
@@ -238,8 +254,61 @@ def in_degree(spark, d):
 
 @query("R10_graph_search")
 def graph_search(spark, d):
+    """Graphs that are built, kept and read back; half of the cells are wired in afterwards, one by one."""
+    c = cells(spark, d)
+    path = new_dir(spark, "graphs")
+    ann.Graphs.build(c.filter("cell_id % 2 = 0"), path).insert(c.filter("cell_id % 2 = 1"))
+    return _out(ann.Graphs(spark, path).search(as_queries(c), K, skip_self=True))
+
+
+@query("SC14_graph_topology")
+def topology(spark, d):
+    """(src, dst, rank) of graphs as they are read back."""
+    path = new_dir(spark, "graphs")
+    ann.Graphs.build(cells(spark, d), path)
+    return ann.Graphs(spark, path).edges()
+
+
+_V8 = "h8 AS (SELECT cell_id, owner, CASE WHEN list_max(list_transform(key, lambda x: abs(x))) > 0 THEN list_max(list_transform(key, lambda x: abs(x))) / 127 ELSE 1.0::DOUBLE END AS scale, key FROM (SELECT * FROM cells ORDER BY cell_id DESC LIMIT 4096)), hot AS (SELECT cell_id, owner, scale, list_transform(key, lambda x: least(greatest(round(x / scale), -127), 127)::DOUBLE) AS q FROM h8)"
+
+
+@query("R5_hot_set", f"WITH {CELLS}, {_V8}, scores AS (SELECT a.cell_id AS query_id, b.cell_id, round(list_inner_product(a.q, b.q) * a.scale * b.scale / sqrt(len(a.q)::DOUBLE), 6) AS score FROM hot a CROSS JOIN hot b) {_top('scores')}")
+def hot_set(spark, d):
+    """The 4096 cells written last, in 8 bits; each of them is a query."""
+    hot = HotSet(spark)
+    hot.insert(cells(spark, d))
+    return _out(hot.query(as_queries(hot.entries), K, skip_self=True))
+
+
+@query("SC27_lazy_tokens", f"WITH {MCELLS}, {TOKENS} SELECT cell_id, count(*) AS vectors, round(sum(t[1]), 6) AS first_sum FROM tok WHERE cell_id % 10 = 3 GROUP BY cell_id")
+def lazy_tokens(spark, d):
+    """Tokens are loaded for candidates only."""
+    source = StoredCells(mcells(spark, d))
+    got = source.tokens(mcells(spark, d).filter("cell_id % 10 = 3").select("cell_id"))
+    return got.select("cell_id", F.size("tokens").cast("long").alias("vectors"), F.round(V.total(F.transform("tokens", lambda t: F.element_at(t, 1))), 6).alias("first_sum"))
+
+
+@query("K1_K2_nan_last", "WITH s AS (SELECT event_id % 50 AS query_id, event_id AS cell_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id * 37 % 1000)::DOUBLE END AS score FROM events) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, cell_id) AS rank, cell_id, score IS NULL AS is_nan FROM s QUALIFY rank <= 30")
+def nan_last(spark, d):
+    """The 30 best of each query; a score that is not a number comes after all others."""
+    e = table(spark, d, "events").select((F.col("event_id") % 50).alias("query_id"), F.col("event_id").alias("cell_id"), F.when(F.col("event_id") % 4 == 0, float("nan")).otherwise((F.col("event_id") * 37 % 1000).cast("double")).alias("score"))
+    return R.top(e, ["query_id"], 30).select("query_id", F.col("rank").cast("long").alias("rank"), "cell_id", F.isnan("score").alias("is_nan"))
+
+
+@query("K6_short_circuit", f"{_PLAIN}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS r FROM scores WHERE query_id <> cell_id AND cell_id % 3 = 0 AND query_id % 2 = 0) SELECT query_id, count(*) AS found, 0 AS stage FROM a WHERE r <= {K} GROUP BY query_id HAVING count(*) >= {K} UNION ALL SELECT query_id, count(*), 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS r FROM scores WHERE query_id <> cell_id AND query_id % 2 = 1) WHERE r <= {K} GROUP BY query_id")
+def short_circuit(spark, d):
+    """The second stage is asked only for the queries that the first one left short."""
+    c = cells(spark, d)
+    got = R.staged_search(as_queries(c), [lambda q: R.brute_force(q.filter("query_id % 2 = 0"), c.filter("cell_id % 3 = 0"), K, skip_self=True), lambda q: R.brute_force(q, c, K, skip_self=True)], K)
+    return got.groupBy("query_id").agg(F.count("*").alias("found"), F.max("stage").alias("stage"))
+
+
+@query("K3_oversampled", f"{_PLAIN}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS r FROM scores WHERE query_id <> cell_id) SELECT query_id, count(*) AS cells, count(DISTINCT cell_id // 5) AS packs FROM near WHERE r <= {4 * K} GROUP BY query_id")
+def oversampled(spark, d):
+    """Four times k cells, so that k packs are found where a pack has several."""
     c = cells(spark, d)
-    return _out(ann.ann_search(as_queries(c), c, K, skip_self=True))
+    found = R.brute_force(as_queries(c), c, 4 * K, skip_self=True)
+    return found.groupBy("query_id").agg(F.count("*").alias("cells"), F.count_distinct(F.expr("cell_id div 5")).alias("packs"))
 
 
 @query("R9_pruned_graph")
@@ -268,7 +337,7 @@ def medoid(spark, d):
 @query("R12_planned_search", f"{_PLAIN} {_top('scores')}")
 def planned(spark, d):
     c = cells(spark, d)
-    return _out(ann.planned(as_queries(c), c, K, skip_self=True))
+    return _out(ann.planned(as_queries(c), c, K, skip_self=True).drop("exact"))
 
 
 @query("DX1_pair_trace", f"WITH {DOTS}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell_id ORDER BY round(s, 6) DESC, q_at, c_at) AS r FROM dots) SELECT query_id, cell_id, q_at, c_at, round(s, 6) AS score FROM best WHERE r = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packmill.functions import governance as G, quantize as Q, vectors as V
-from packmill.operators import refine
+from packmill.operators import projection as PR, refine
 from packmill.queries.base import CELLS, MCELLS, PACKS, TOKENS, cells, mcells, packs, query, table
 
 _R = "round({}, 6) + 0.0::DOUBLE"
@@ -252,3 +252,25 @@ def embedding_keys(spark, d):
 def blocks(spark, d):
     b = cells(spark, d).select("cell_id", F.posexplode(V.pad_to_blocks(F.col("key"), 14)).alias("block", "v"))
     return spread(b.withColumn("block", F.col("block").cast("long")), ["cell_id", "block"], F.col("v"))
+
+
+@query("DX15_least_squares")
+def projection(spark, d):
+    """Each key's first half mapped to its second half by least squares over all keys: the squared error that is left."""
+    c = cells(spark, d).select("cell_id", F.slice("key", 1, 32).alias("a"), F.slice("key", 33, 32).alias("b"))
+    w = PR.least_squares(c)
+    return c.select("cell_id", F.round(Q.squared_error(PR.apply(w, F.col("a")), F.col("b")), 6).alias("left"))
+
+
+@query("DX15_canonical")
+def canonical(spark, d):
+    """The correlations of the halves' shared components."""
+    c = cells(spark, d).select("cell_id", F.slice("key", 1, 32).alias("a"), F.slice("key", 33, 32).alias("b"))
+    _, _, strength = PR.canonical(c, 8)
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(strength)], "component bigint, correlation double")
+
+
+@query("DX15_truncation", f"WITH {CELLS}, t AS (SELECT cell_id, key[1:16] AS t FROM cells) SELECT cell_id, len(t) AS size, {_R.format('list_sum(t)')} AS total FROM t")
+def truncation(spark, d):
+    t = PR.truncated(F.col("key"), 16)
+    return cells(spark, d).select("cell_id", F.size(t).cast("long").alias("size"), F.round(V.total(t), 6).alias("total"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from packmill.functions import governance as G
 from packmill.operators import evaluate as E
-from packmill.queries.base import BENCH, MCELLS, bench_rows, pack_cells, query, table, turns
+from packmill.plans.engine import Engine
+from packmill.queries.base import BENCH, EDGES, MCELLS, bench_rows, pack_cells, pack_edges, query, table, turns
 from packmill.sources import datasets, store as ST
-from packmill.sources.shared import new_dir
+from packmill.sources.shared import hadoop, new_dir
 
 
 def filled(spark, d) -> ST.Store:
@@ -111,8 +114,6 @@ def haystack_items(spark, d):
 
 @query("SC23_text_files", "SELECT 'item-' || item_id || '.txt' AS document_id, text FROM benchmark")
 def text_files(spark, d):
-    from packmill.sources.shared import hadoop
-
     folder = new_dir(spark, "texts")
     for r in table(spark, d, "benchmark").collect():  # a fixture of few small files
         fs, p = hadoop(spark, f"{folder}/item-{r['item_id']}.txt")
@@ -130,3 +131,93 @@ def run_report(spark, d):
     return spark.read.schema("system string, n bigint").json(path)
 
 
+@query("SC2_batch_append", f"WITH {MCELLS} SELECT count(*) AS layers, count(DISTINCT cell_id) AS packs, 1 AS commits FROM (SELECT cell_id, unnest(tokens) FROM mcells)")
+def batch_append(spark, d):
+    """All layers of all packs in one commit."""
+    s = ST.Store(spark, new_dir(spark, "store"))
+    s.append("layers", pack_cells(spark, d).select("pack_id", F.posexplode("tokens").alias("layer_idx", "data")))
+    fs, folder = hadoop(spark, s.table_path("layers"))
+    commits = sum(f.getPath().getName() == "_SUCCESS" for f in fs.listStatus(folder))
+    return s.read("layers").agg(F.count("*").alias("layers"), F.count_distinct("pack_id").alias("packs")).withColumn("commits", F.lit(commits))
+
+
+@query("SC7_rollover", f"WITH {MCELLS} SELECT count(*) AS rows, true AS bounded FROM mcells")
+def rollover(spark, d):
+    """Files end at a number of bytes; no file holds more than that and one row group besides."""
+    s = ST.Store(spark, new_dir(spark, "store"))
+    s.append("packs", pack_cells(spark, d).select("pack_id", "owner"), bytes_of=1000)
+    fs, folder = hadoop(spark, s.table_path("packs"))
+    sizes = [f.getLen() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
+    return s.read("packs").agg(F.count("*").alias("rows")).withColumn("bounded", F.lit(len(sizes) > 1 and max(sizes) < 16_000))
+
+
+@query("SC8_refresh", f"WITH {MCELLS} SELECT cell_id + 1 AS pack_id FROM mcells")
+def refresh(spark, d):
+    """What another writer appends is seen by a store that was opened before."""
+    path = new_dir(spark, "store")
+    reader, writer = ST.Store(spark, path), ST.Store(spark, path)
+    c = pack_cells(spark, d)
+    writer.append("packs", c.filter("pack_id % 2 = 0"))
+    reader.read("packs").count()
+    writer.append("packs", c.filter("pack_id % 2 = 1"))
+    return reader.read("packs").select("pack_id")
+
+
+@query("SC13_edge_log", f"WITH {EDGES} SELECT DISTINCT src, dst, edge_type FROM edges")
+def edge_log(spark, d):
+    """Edges are appended twice, replayed as a set and checkpointed; what is appended after the checkpoint counts too."""
+    s = ST.Store(spark, new_dir(spark, "store"))
+    e = pack_edges(spark, d)
+    s.append("edges", e)
+    s.append("edges", e.filter("src % 2 = 0"))
+    s.checkpoint_edges()
+    s.append("edges", e.filter("src % 3 = 0"))
+    return s.edges().select("src", "dst", "edge_type")
+
+
+@query("SC15_schedule_file", "SELECT i AS id, 1000 - 10 * i AS fires_at, 'evict_draft' AS action FROM range(1, 6) t(i) WHERE i <> 3")
+def schedule_file(spark, d):
+    """A schedule written, cancelled in part and read back by another engine."""
+    path = new_dir(spark, "store")
+    e = Engine(spark, path)
+    for i in range(1, 6):
+        e.schedule_evict_drafts(1000 - 10 * i)
+    e.cancel_scheduled(3)
+    return Engine(spark, path).list_scheduled().select("id", "fires_at", "action")
+
+
+@query("SC17_restore_refusals", "SELECT * FROM (VALUES ('another version', 'ValueError'), ('damaged manifest', 'ValueError'), ('exists', 'FileExistsError'), ('lost file', 'ValueError'), ('nothing there', 'FileNotFoundError'), ('other codec', 'ValueError'), ('other magic', 'ValueError'), ('sound', 'none')) t(what, error)")
+def refusals(spark, d):
+    """Each way in which a snapshot is not one, and the error it meets."""
+    s = ST.Store(spark, new_dir(spark, "store"))
+    s.append("packs", pack_cells(spark, d).select("pack_id", "owner"))
+    out = new_dir(spark, "snapshot")
+    good = ST.snapshot(s, out)
+
+    def manifest(text: str) -> None:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest.json")
+
+    def tried(into=None, path=out) -> str:
+        try:
+            ST.restore(spark, path, into or new_dir(spark, "restored"))
+            return "none"
+        except (ValueError, FileNotFoundError, FileExistsError) as e:
+            return type(e).__name__
+
+    rows = [("sound", tried()), ("exists", tried(s.path)), ("nothing there", tried(path=new_dir(spark, "empty")))]
+    for what, change in (("other magic", {"magic": "X"}), ("another version", {"format_version": 99}), ("other codec", {"codecs": {"table": "x"}}), ("lost file", {"sha256": "0"})):
+        manifest(json.dumps(good | change))
+        rows.append((what, tried()))
+    manifest("{not json")
+    rows.append(("damaged manifest", tried()))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
+@query("SC18_manifest", f"WITH {MCELLS} SELECT count(*) AS packs, count(DISTINCT owner) AS owners, 'parquet' AS codec, 1 AS format_version FROM mcells")
+def manifest_only(spark, d):
+    s = ST.Store(spark, new_dir(spark, "store"))
+    s.append("packs", pack_cells(spark, d).select("pack_id", "owner"))
+    out = new_dir(spark, "snapshot")
+    ST.snapshot(s, out)
+    m = ST.read_manifest(spark, out)
+    return spark.createDataFrame([(m["stats"]["pack_count"], m["stats"]["owner_count"], m["codecs"]["table"], m["format_version"])], "packs bigint, owners bigint, codec string, format_version int")

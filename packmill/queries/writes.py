@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from packmill.functions import governance as G, texts as X, vectors as V
 from packmill.operators import graph, packs as P, retrieval as R
+from packmill.plans.buffer import WriteBuffer
+from packmill.plans.engine import Engine
+from packmill.plans.maintenance import Maintenance, consolidate
 from packmill.queries.base import CELLS, MCELLS, PACKS, TOP5, TURNS, as_queries, cells, mcells, pack_cells, packs, query, table, turns
+from packmill.sources.shared import new_dir, written
 
 _TIER0 = "CASE WHEN imp >= 85 THEN 2 WHEN imp >= 65 THEN 1 ELSE 0 END"
 
@@ -112,3 +116,82 @@ def per_token(spark, d):
     return c.select("cell_id", F.size("t").cast("long").alias("tokens"), F.round(F.least(50 * V.norm(V.mean_pool(F.col("t"))), F.lit(100.0)), 6).alias("salience"))
 
 
+# Through the engine
+
+
+def engine_rows(spark, d):
+    """The packs as Engine.write_packs takes them, in order of their number."""
+    c = pack_cells(spark, d)
+    text = F.when(F.col("pack_id") % 2 == 0, F.concat(F.lit("pack "), F.col("pack_id").cast("string"), F.lit(", which the old house by the road shows")))
+    return c.select(F.col("cell_id").alias("row_no"), "owner", "tokens", (F.col("pack_id") * 37 % 61 + 20).cast("double").alias("salience"), text.alias("text"), F.slice(F.transform("tokens", lambda t, i: F.struct(i.alias("layer_idx"), t.alias("data"))), 1, 2).alias("layers"))
+
+
+@query("W4_write_buffer", f"WITH {MCELLS}, x AS (SELECT cell_id, cell_id + 1 AS pack_id, cell_id % 10 AS part FROM mcells) SELECT cell_id AS row_no, row_number() OVER (ORDER BY part >= 3, part >= 6, cell_id) AS pack_id, part < 6 AS seen_before_flush, true AS seen_after FROM x WHERE part < 9")
+def write_buffer(spark, d):
+    """Three batches: the second one fills the buffer, which flushes itself; the third waits for flush(). Ids are given at once."""
+    rows, e = engine_rows(spark, d).filter("row_no % 10 < 9"), Engine(spark, new_dir(spark, "store"))
+    buffer = WriteBuffer(e, max(2, rows.filter("row_no % 10 < 6").count()))
+    ids = [buffer.enqueue(rows.filter(F.expr("row_no % 10 div 3") == i)) for i in range(3)]
+    before = written(e.store.read("packs").select("pack_id", F.lit(True).alias("b")), "before")
+    assert buffer.flush() > 0 and buffer.flush() == 0
+    after = e.store.read("packs").select("pack_id", F.lit(True).alias("a"))
+    all_ids = ids[0].unionByName(ids[1]).unionByName(ids[2])
+    return all_ids.join(before, "pack_id", "left").join(after, "pack_id", "left").select("row_no", "pack_id", F.coalesce("b", F.lit(False)).alias("seen_before_flush"), F.coalesce("a", F.lit(False)).alias("seen_after"))
+
+
+@query("W14_refresh", f"WITH {MCELLS} SELECT cell_id + 1 AS pack_id, owner FROM mcells")
+def flush_and_refresh(spark, d):
+    """An engine opened before another one wrote sees it all after a refresh."""
+    path = new_dir(spark, "store")
+    reader, writer = Engine(spark, path), Engine(spark, path)
+    reader.packs().count()
+    writer.write_packs(engine_rows(spark, d))
+    writer.flush()
+    reader.refresh()
+    return reader.packs().select("pack_id", "owner")
+
+
+@query("W18_schedule", f"WITH {MCELLS}, p AS (SELECT cell_id + 1 AS pack_id, owner, least(100.0::DOUBLE, ((cell_id + 1) * 37 % 61 + 20) + 5) AS imp FROM mcells), left_ AS (SELECT * FROM p WHERE NOT ((owner = 1 AND imp < 40) OR (owner = 2 AND imp < 60))) SELECT (SELECT count(*) FROM left_) AS packs, 2 AS fired, 0 AS fired_again, true AS cancelled, 1 AS open")
+def schedule(spark, d):
+    """Two of four jobs are due, one is cancelled and one comes later; firing again does nothing."""
+    e = Engine(spark, new_dir(spark, "store"))
+    e.write_packs(engine_rows(spark, d))
+    e.schedule_evict_drafts(50, 60.0, 2)
+    e.schedule_evict_drafts(10, 40.0, 1)
+    third = e.schedule_evict_drafts(60, 100.0, 3)
+    e.schedule_evict_drafts(500, 100.0)
+    cancelled = e.cancel_scheduled(third)
+    fired, again = e.fire_due(100), e.fire_due(100)
+    return spark.createDataFrame([(e.packs().count(), fired, again, cancelled, e.list_scheduled().count())], "packs bigint, fired bigint, fired_again bigint, cancelled boolean, open bigint")
+
+
+@query("W1_W8_engine_links", f"WITH {TOP5}, near AS (SELECT s.query_id, s.cell_id, score, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.cell_id) AS r FROM scores s JOIN mcells a ON a.cell_id = s.query_id JOIN mcells b ON b.cell_id = s.cell_id WHERE a.owner = b.owner AND s.query_id % 2 = 1 AND s.cell_id % 2 = 0) SELECT query_id AS src_row, cell_id AS dst_row FROM near WHERE r = 1 AND score >= 0.005")
+def engine_links(spark, d):
+    """New packs are linked to the best older one of their owner, through the engine."""
+    rows, e = engine_rows(spark, d), Engine(spark, new_dir(spark, "store"))
+    old = e.write_packs(rows.filter("row_no % 2 = 0"))
+    new = e.write_packs_linked(rows.filter("row_no % 2 = 1"), 0.005)
+    edges = e.store.edges().join(new.withColumnRenamed("row_no", "src_row"), F.col("src") == F.col("pack_id")).drop("pack_id")
+    return edges.join(old.withColumnRenamed("row_no", "dst_row"), F.col("dst") == F.col("pack_id")).select("src_row", "dst_row")
+
+
+@query("P12_open_packs", f"WITH {MCELLS} SELECT cell_id + 1 AS pack_id, 2 AS layers, least(100.0::DOUBLE, ((cell_id + 1) * 37 % 61 + 20) + 5 + CASE WHEN (cell_id + 1) % 5 = 0 THEN 3 ELSE 0 END) AS importance FROM mcells")
+def open_packs(spark, d):
+    """Loading a pack counts as an access of it."""
+    e = Engine(spark, new_dir(spark, "store"))
+    e.write_packs(engine_rows(spark, d))
+    e.open_packs(e.packs().filter("pack_id % 5 = 0").select("pack_id"))
+    return e.load_packs(e.packs().select("pack_id")).select("pack_id", F.size("layers").alias("layers"), "importance")
+
+
+@query("ST2_ST4_maintenance", f"WITH {MCELLS}, p AS (SELECT cell_id + 1 AS pack_id, least(100.0::DOUBLE, ((cell_id + 1) * 37 % 61 + 20) + 5) AS imp FROM mcells), kept AS (SELECT * FROM p WHERE imp >= 40) SELECT 3 AS sweeps, 1 AS compactions, 1 AS consolidations, (SELECT count(*) FROM p) - (SELECT count(*) FROM kept) AS packs_evicted, (SELECT count(*) FROM kept) AS packs, (SELECT count(*) FROM kept WHERE imp >= 65 AND pack_id % 2 = 0) AS consolidated")
+def maintenance(spark, d):
+    """Four ticks of an hour: the first starts the clock; a compaction and a consolidation fall due at the last."""
+    e = Engine(spark, new_dir(spark, "store"))
+    e.write_packs(engine_rows(spark, d))
+    m = Maintenance(e, sweep_every=3600, compact_every=10_800, consolidate_every=10_800, threshold=40.0)
+    for hour in range(4):
+        s = m.tick(hour * 3600)
+    consolidated = e.store.live("cells").filter("is_view").select("pack_id").distinct().count()
+    assert consolidate(e) == 0
+    return spark.createDataFrame([(s.sweeps, s.compactions, s.consolidations, s.packs_evicted, e.packs().count(), consolidated)], "sweeps bigint, compactions bigint, consolidations bigint, packs_evicted bigint, packs bigint, consolidated bigint")

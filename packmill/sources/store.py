@@ -42,11 +42,14 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(path)
 
-    def append(self, name: str, rows: DataFrame, files_of: int | None = None) -> None:
-        """One append job. Columns that rows lack are null; files_of is the most rows of a file."""
+    def append(self, name: str, rows: DataFrame, files_of: int | None = None, bytes_of: int | None = None) -> None:
+        """One append job. Columns that rows lack are null; files_of is the most rows of a file, bytes_of about its most bytes, by the rows' mean size as text."""
         want = self.spark.createDataFrame([], SCHEMAS[name]).schema
         have = set(rows.columns)
         rows = rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields))
+        if bytes_of:
+            mean = rows.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 1
+            files_of = max(1, int(bytes_of / mean))
         writer = rows.write.mode("append")
         (writer.option("maxRecordsPerFile", files_of) if files_of else writer).parquet(self.table_path(name))
 
@@ -57,6 +60,23 @@ class Store:
     def texts(self) -> DataFrame:
         return self.live("texts").groupBy("pack_id").agg(F.max_by("text", "seq").alias("text"))
 
+    def edges(self) -> DataFrame:
+        """(src, dst, edge_type, ts): the log replayed; an edge that was appended again counts once, from its first time."""
+        return self.read("edges").filter("src is not null and dst is not null").groupBy("src", "dst", "edge_type").agg(F.min("ts").alias("ts"))
+
+    def checkpoint_edges(self) -> int:
+        """Replaces the log by what it replays to; how many edges. Readers see the old files or the new ones: the new table is complete before it takes the old one's place."""
+        fresh, old = f"{self.path}/_edges-new", f"{self.path}/_edges-old"
+        for path in (fresh, old):
+            remove(self.spark, path)
+        self.edges().write.parquet(fresh)
+        if exists(self.spark, self.table_path("edges")):
+            rename(self.spark, self.table_path("edges"), old)
+        rename(self.spark, fresh, self.table_path("edges"))
+        remove(self.spark, old)
+        self.spark.catalog.refreshByPath(self.table_path("edges"))
+        return self.read("edges").count()
+
     def files(self, name: str) -> DataFrame:
         """(file, rows, live): how many rows of each file live."""
         dead = self.read("deletions").select("pack_id").distinct().withColumn("dead", F.lit(True))
@@ -93,11 +113,36 @@ MAGIC, VERSION, CODEC = "PACKMILL", 1, "parquet"
 
 
 def _digest(spark: SparkSession, path: str) -> tuple[str, int]:
-    """(sha256 over the files' sha256 in order of their names, number of files)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    rows = files.select(F.expr(f"substring(path, instr(path, '{path.rsplit('/', 1)[1]}'))").alias("name"), F.sha2("content", 256).alias("h")).orderBy("name")
-    got = rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda s: s["h"]), ","), 256).alias("h")).first()
-    return got["h"], got["n"]
+    """(a digest of all files, number of files): each file's sha256 is of its name and contents, read piece by piece in a task, and the files' hashes are added up, so that none of it is gathered in one place."""
+    fs, root = hadoop(spark, path)
+    walk, names = fs.listFiles(root, True), []
+    while walk.hasNext():
+        f = walk.next().getPath().toString()
+        if f.endswith(".parquet"):
+            names.append((f, f[f.index("/" + path.rsplit("/", 1)[1] + "/") :]))
+
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs as pfs
+
+        for batch in batches:
+            out = []
+            for uri, name in zip(*(batch.column(c).to_pylist() for c in ("uri", "name"))):
+                system, where = pfs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                h = hashlib.sha256(name.encode())
+                with system.open_input_stream(where, compression=None) as source:
+                    while piece := source.read(1 << 20):
+                        h.update(piece)
+                out.append([int.from_bytes(h.digest()[i : i + 4], "big") for i in range(0, 32, 4)])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(8)], [f"h{i}" for i in range(8)])
+
+    if not names:
+        return "0", 0
+    rows = spark.createDataFrame(names, "uri string, name string").repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism))
+    got = rows.mapInArrow(hashed, ", ".join(f"h{i} bigint" for i in range(8))).agg(*(F.sum(f"h{i}").alias(f"h{i}") for i in range(8))).first()
+    return "".join(f"{got[i] & 0xFFFFFFFF:08x}" for i in range(8)), len(names)
 
 
 def snapshot(store: Store, out: str, created_at: int = 0) -> dict:

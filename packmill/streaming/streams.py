@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors.exceptions.captured import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packmill.functions.governance import DAILY, DEMOTE, MAX_DAYS, PROMOTE, READ, WRITE
-from packmill.sources.shared import hadoop, new_dir
+from packmill.sources.shared import exists, hadoop, new_dir
 
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 64) -> DataFrame:
@@ -89,3 +90,49 @@ def windowed_counts(stream: DataFrame, size: str = "1 hour", late: str = "2 hour
     """(start, event_type, n) updates of tumbling windows; rows later than the watermark are left out."""
     seen = stream.withWatermark("ts", late)
     return seen.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def idempotent(stream: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(all requests, what was done) for a stream of requests: each key is done once, however often it is asked for.
+
+    A batch does what is not done yet and writes it under its own number, so a batch that is run again after a failure replaces its own rows.
+    """
+    spark = stream.sparkSession
+    log, done = new_dir(spark, "log"), new_dir(spark, "done")
+    schema = stream.schema.add("batch", "long")
+
+    def work(rows: DataFrame, batch: int) -> None:
+        new = rows.dropDuplicates(key)
+        if exists(spark, done):
+            new = new.join(spark.read.schema(schema).parquet(done).filter(F.col("batch") < batch), key, "left_anti")
+        new.select(*rows.columns).write.mode("overwrite").parquet(f"{done}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{log}/batch={batch}")
+
+    stream.writeStream.option("checkpointLocation", new_dir(spark, "jobs")).trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
+    return spark.read.schema(schema).parquet(log).drop("batch"), spark.read.schema(schema).parquet(done).drop("batch")
+
+
+def ingest(stream: DataFrame, path: str, fail_after: int | None = None) -> tuple[bool, bool]:
+    """Runs a stream into a table, its files per trigger being the depth of the queue: (failed once, ended well).
+
+    The sink's error ends the run and reaches the caller; the next run goes on from the checkpoint. fail_after makes the sink fail at that batch, once.
+    """
+    failures = [fail_after]
+    checkpoint = new_dir(stream.sparkSession, "ingest")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if failures[0] is not None and batch >= failures[0]:
+            failures[0] = None
+            raise OSError("the sink is full")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    def run() -> bool:
+        query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            return False
+        return True
+
+    ended = run()
+    return not ended, run() if not ended else ended

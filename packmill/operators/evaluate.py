@@ -122,21 +122,49 @@ TERM_BYTES = 64 << 20
 
 
 def _counted(sent):
-    """(doc_id, dl, term, tf): how often each document has the terms asked for, by their numbers; and for each batch a row of term -1 with its words and documents."""
+    """(doc_id, dl, term, tf): for each document how often it has the terms asked for, by their numbers."""
 
     def work(batches):
         terms = pa.array(sent.value, pa.string())
         for batch in batches:
             lists = batch.column("terms")
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            size = np.diff(at)
             number = pc.index_in(lists.flatten(), value_set=terms)
             hit = np.flatnonzero(pc.is_valid(number).to_numpy(zero_copy_only=False))
             doc = np.searchsorted(at, hit, "right") - 1
             key, tf = np.unique(doc * (len(terms) + 1) + number.take(pa.array(hit)).to_numpy(), return_counts=True)
             doc, term = np.divmod(key, len(terms) + 1)
-            ids = pa.concat_arrays([batch.column("doc_id").take(pa.array(doc)), pa.nulls(1, batch.schema.field("doc_id").type)])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.append(size[doc], size.sum())), pa.array(np.append(term, -1)), pa.array(np.append(tf, len(size)))], ["doc_id", "dl", "term", "tf"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(lists)))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (term, tf))], ["doc_id", "dl", "term", "tf"])
+
+    return work
+
+
+#: Scores of documents and queries that a task adds up at once.
+_CELLS = 1 << 21
+
+
+def _scored(sent, n: int, mean: float, k1: float, b: float):
+    """(query_id, doc_id, score) from the counts of documents."""
+
+    def work(batches):
+        queries, q_from, q_at, df = sent.value
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        step = max(1, _CELLS // max(1, len(queries)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                count = pc.list_value_length(batch.column("term")).to_numpy().astype(np.int64)
+                term, tf = (batch.column(c).flatten().to_numpy() for c in ("term", "tf"))
+                doc = np.repeat(np.arange(batch.num_rows), count)
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch.column("dl").to_numpy()[doc] / mean))
+                size = q_from[term + 1] - q_from[term]
+                row = np.repeat(np.arange(len(term)), size)
+                asked = q_at[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(q_from[term], size)]
+                total = np.bincount(doc[row] * len(queries) + asked, weight[row], batch.num_rows * len(queries))
+                hit = np.flatnonzero(total > 0)
+                at, q = np.divmod(hit, max(1, len(queries)))
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), batch.column("doc_id").take(pa.array(at)), pa.array(np.round(total[hit], 6))], ["query_id", "doc_id", "score"])
 
     return work
 
@@ -145,28 +173,37 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     """(query_id, doc_id, score): queries and docs with `terms`, arrays of words; pairs without a common term are left out.
 
     One pass over the documents counts the terms that some query has and drops all others where they are;
-    document frequencies and lengths are over all documents. Only documents that share a term with a query are joined.
+    document frequencies and lengths are over all documents. The queries' terms are a stated set: up to
+    `limit` bytes of them are sent to workers, which add up a document's scores where its counts are; more of
+    them are joined with the counts. Rows are documents, also where they share a doc_id or it is null.
     """
-    asked = queries.select("query_id", F.explode("terms").alias("word")).filter("word is not null").distinct()
-    words = asked.select("word").distinct()
+    spark = docs.sparkSession
+    asked = written(queries.select("query_id", F.explode("terms").alias("word")).filter("word is not null").distinct(), "asked")
     docs = docs.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-    if (words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0) <= limit:
-        have = sorted(r["word"] for r in words.collect())
-        spark = docs.sparkSession
-        tf = written(docs.mapInArrow(_counted(spark.sparkContext.broadcast(have)), T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("dl", "term", "tf"))])), "terms")
-        n = tf.filter("term = -1").agg(F.sum("tf").alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
-        tf = tf.filter("term >= 0")
-        asked = asked.join(F.broadcast(spark.createDataFrame(list(enumerate(have)), "term bigint, word string")), "word").select("query_id", "term")
-    else:
-        n = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-        every = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("word")).join(words, "word", "left_semi")
-        tf = written(every.groupBy("doc_id", "dl", "word").agg(F.count("*").alias("tf")).withColumnRenamed("word", "term"), "terms")
-        asked = asked.withColumnRenamed("word", "term")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    met = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(n))
+    if (asked.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) <= limit:
+        got = asked.toArrow()
+        words, ids = got.column("word").combine_chunks().dictionary_encode(), got.column("query_id").combine_chunks().dictionary_encode()
+        have, term, q = words.dictionary, words.indices.to_numpy(), ids.indices.to_numpy().astype(np.int64)
+        order = np.argsort(term, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(have)))])
+        kinds = [docs.schema["doc_id"], T.StructField("dl", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("term", "tf"))]
+        tf = written(docs.mapInArrow(_counted(spark.sparkContext.broadcast(have.to_pylist())), T.StructType(kinds)), "terms")
+        n, words_ = tf.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        df = np.zeros(len(have))
+        for r in tf.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # a row for each term asked for
+            df[r["term"]] = r["df"]
+        sent = spark.sparkContext.broadcast((ids.dictionary, starts, q[order], df))
+        out = T.StructType([asked.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+        return tf.mapInArrow(_scored(sent, n, max(words_, 1) / max(n, 1), k1, b), out)
+    docs = docs.withColumn("doc", F.monotonically_increasing_id())
+    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    every = docs.select("doc_id", "doc", F.size("terms").alias("dl"), F.explode("terms").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    tf = written(every.groupBy("doc_id", "doc", "dl", "word").agg(F.count("*").alias("tf")), "terms")
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    met = asked.join(df, "word").join(tf, "word").crossJoin(F.broadcast(n))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return met.groupBy("query_id", "doc", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).drop("doc")
 
 
 def running(df: DataFrame, by: list[str], order: str, value: str) -> Column:

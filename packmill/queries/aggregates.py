@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packmill.functions import texts as X
 from packmill.operators import evaluate as E, fusion, graph, packs as P, retrieval as R
-from packmill.queries.base import BENCH, CELLS, EDGES, MCELLS, PACKS, TURNS, as_queries, bench_rows, cells, mcells, pack_cells, pack_edges, packs, query, table, texts, turns
+from packmill.queries.base import BENCH, CELLS, EDGES, MCELLS, PACKS, TURNS, as_queries, bench_rows, cells, mcells, pack_cells, pack_edges, packs, query, spread, table, texts, turns
 
 NAN = "'nan'::DOUBLE"
 RANKED = f"{CELLS}, scores AS (SELECT a.cell_id AS query_id, b.cell_id, a.owner AS qo, b.owner, round(list_inner_product(a.key, b.key) / sqrt(len(a.key)::DOUBLE), 6) AS score FROM cells a JOIN cells b ON a.cell_id <> b.cell_id), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell_id) AS rank FROM scores)"
@@ -194,7 +194,7 @@ _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 )
 def bm25(spark, d):
     terms = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("terms")
-    return E.bm25(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms), table(spark, d, "documents").filter("text is not null").select("doc_id", terms))
+    return E.bm25(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms), spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", terms))
 
 
 @query("A28_content_version", "SELECT conv_id, sha256(string_agg(turn || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS version FROM conversations GROUP BY conv_id")

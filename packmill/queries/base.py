@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packmill.functions import governance as G
+from packmill.sources.shared import spread
+
+__all__ = ["QUERIES", "SQL", "query", "spread", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

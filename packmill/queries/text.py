@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from packmill.functions import support, texts as X, vectors as V
 from packmill.operators import answering, evaluate as E, fusion, retrieval as R
-from packmill.queries.base import CELLS, PACKS, as_queries, cells, mcells, packs, query, table
+from packmill.queries.base import CELLS, PACKS, as_queries, cells, mcells, packs, query, spread, table
 
 _T = "text IS NOT NULL"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in X.QUERY_STOPS) + "]"
@@ -39,14 +39,14 @@ def split_points(spark, d):
 @query("F31_chunks")
 def chunks(spark, d):
     chunk = X.chunker()
-    rows = table(spark, d, "documents").select("doc_id", F.explode(chunk(F.col("text"))).alias("c"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.explode(chunk(F.col("text"))).alias("c"))
     return rows.select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), "c.start_char", "c.end_char", "c.token_count", F.md5(F.col("c.text").cast("binary")).alias("text_md5"))
 
 
 @query("F31_sentence_chunks")
 def sentence_chunks(spark, d):
     chunk = X.chunker(64, 8, "sentence")
-    rows = table(spark, d, "documents").select("doc_id", F.explode(chunk(F.col("text"))).alias("c"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.explode(chunk(F.col("text"))).alias("c"))
     return rows.select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), "c.start_char", "c.end_char", "c.token_count")
 
 
@@ -200,7 +200,7 @@ def capped_chunks(spark, d):
 def lexical(spark, d, k: int = 5):
     """retrieve(queries (query_id, text)) over the documents by BM25: (query_id, rank, id, score)."""
     terms = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("terms")
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", terms)
+    docs = spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", terms)
 
     def retrieve(queries):
         scored = E.bm25(queries.select("query_id", terms), docs)

@@ -74,3 +74,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table that has fewer splits than there are cores, dealt out to them; what is larger stays where it lies."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -8,9 +8,9 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packmill.sources.shared import new_dir, remove, shared_dir, written
+from packmill.sources.shared import new_dir, remove, shared_dir, spread, written
 
-__all__ = ["BATCH_BYTES", "BROADCAST_BYTES", "cached", "fresh", "new_dir", "remove", "shared_dir", "small_batches", "table", "unit_hash", "unit_hash_sql", "worker_cache", "written"]
+__all__ = ["BATCH_BYTES", "BROADCAST_BYTES", "cached", "fresh", "new_dir", "remove", "shared_dir", "small_batches", "spread", "table", "unit_hash", "unit_hash_sql", "worker_cache", "written"]
 
 #: Broadcast only what is at most this large; each operator has another way beyond it.
 BROADCAST_BYTES = 64 << 20

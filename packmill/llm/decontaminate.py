@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import BROADCAST_BYTES, cached, fresh, small_batches, table
+from packmill.llm.common import BROADCAST_BYTES, cached, fresh, small_batches, spread, table
 from packmill.llm.text import Words, chunks
 
 #: Words that a match has at least, unless the item is shorter.
@@ -167,4 +167,4 @@ def _clean(name: str, sent, window: int, shortest: int):
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))

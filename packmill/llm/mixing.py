@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import BROADCAST_BYTES, fresh, small_batches, table, unit_hash, written
+from packmill.llm.common import BROADCAST_BYTES, fresh, small_batches, spread, table, unit_hash, written
 from packmill.llm.tokens import VOCABULARY, encoding
 
 #: Share of each source in the mix; sources not named have weight DEFAULT_WEIGHT.
@@ -203,4 +203,4 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: float | int = BUDG
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), tokens="n_tokens").select("doc_id", "source", "n_tokens")
+    return mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"), tokens="n_tokens").select("doc_id", "source", "n_tokens")

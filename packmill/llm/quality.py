@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packmill.llm.common import BROADCAST_BYTES, cached, small_batches, table, unit_hash, written
+from packmill.llm.common import BROADCAST_BYTES, cached, small_batches, spread, table, unit_hash, written
 from packmill.llm.text import chunks
 
 ORDER = 5
@@ -288,4 +288,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hel
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

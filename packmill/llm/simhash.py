@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import fresh, small_batches, table, written
+from packmill.llm.common import fresh, small_batches, spread, table, written
 from packmill.llm.text import Words, chunks, mix
 
 BITS = 128
@@ -354,4 +354,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))

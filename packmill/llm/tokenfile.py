@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packmill.llm.common import new_dir, small_batches, table, written
+from packmill.llm.common import new_dir, small_batches, spread, table, written
 from packmill.llm.files import Attempt, open_input
 from packmill.llm.tokens import VOCABULARY, encoding
 
@@ -161,4 +161,4 @@ def read(index: DataFrame) -> DataFrame:
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index without files and frames, which follow from how rows fell into tasks."""
-    return write(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "id_size", "checksum")
+    return write(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_tokens", "id_size", "checksum")

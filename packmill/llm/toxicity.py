@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packmill.llm.common import BROADCAST_BYTES, fresh, small_batches, table, unit_hash, written
+from packmill.llm.common import BROADCAST_BYTES, fresh, small_batches, spread, table, unit_hash, written
 from packmill.llm.text import Words, chunks
 
 GRADES = 3
@@ -238,4 +238,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, max_p
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

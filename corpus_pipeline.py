@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from packmill.llm import decontaminate, mixing, sharding, simhash, toxicity
-from packmill.llm.common import table, written
+from packmill.llm.common import spread, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     not taken into the mix; a null source is a source of its own; a null doc_id is kept up to the mix and drawn
     there by its text. Extra columns stay as they are, whatever their names. Empty documents give no rows.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

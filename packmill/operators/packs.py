@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packmill.functions import governance as G
 from packmill.operators.graph import links
 from packmill.operators.retrieval import DECIMALS, search, top
+from packmill.sources.shared import written
 
 
 def live(rows: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def explode_packs(packs: DataFrame, first_cell: int = 0) -> DataFrame:
 
 def number(df: DataFrame, name: str, by: list[str], first: int = 0) -> DataFrame:
     """Consecutive ids in order, without one task for all rows: rows are range-partitioned, and each partition starts after the rows before it."""
-    keyed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    # written once, so that counting and numbering see the same partitions
+    keyed = written(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
     start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("_part").orderBy(*by))

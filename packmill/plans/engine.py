@@ -15,7 +15,8 @@ class Engine:
     """Packs of one store. Reads change nothing: log_access() records them, and governance follows from the log.
 
     A pack is given as (owner, tokens, salience, text, layers): tokens is its retrieval key, an array of
-    vectors, layers an array of (layer_idx, data). Ids are given in order of the rows' `row_no`.
+    vectors, layers an array of (layer_idx, data). Ids are given in order of the rows' `row_no`; a store has one
+    writer at a time and any number of readers.
     """
 
     def __init__(self, spark: SparkSession, path: str, refinement: str = "none"):

@@ -86,7 +86,8 @@ class Store:
     def compact(self, name: str, live_ratio: float = 0.5) -> dict:
         """Rewrites the files of which less than live_ratio lives: {files, rows_dropped}. Running it again finds nothing to do.
 
-        The live rows are written beside the table and moved in before the old files go, under new names.
+        The live rows are written beside the table and moved in before the old files go, under new names: nothing is
+        ever missing, but a reader in between may see a row twice, so compact when no one reads.
         """
         worn = self.files(name).filter(F.col("live") < live_ratio * F.col("rows")).collect()
         if not worn:

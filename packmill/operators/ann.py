@@ -203,7 +203,7 @@ class Graphs:
 
         return self.table.mapInArrow(work, "src bigint, dst bigint, rank bigint")
 
-    def search(self, queries: DataFrame, k: int, skip_self: bool = False, width: int | None = None, block: int = 1024) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, skip_self: bool = False, width: int | None = None, block: int = 128) -> DataFrame:
         """(query_id, rank, cell_id, owner, score) for queries (query_id, owner, key): blocks of queries meet each shard, or their owner's shards."""
         by_owner = self.by_owner
         beam_width = width or 4 * max(k, DEGREE)
@@ -240,7 +240,10 @@ class Graphs:
         # each block is sent to its shards by their number, so shards spread over tasks whatever the join
         parts = self.table.select("part", F.col("owner").alias("p_owner"), F.col("dim").alias("p_dim"))
         sent = blocks.join(parts, (F.col("p_dim") == F.col("q_dim")) & (F.col("p_owner") == F.col("q_owner")) if by_owner else F.col("p_dim") == F.col("q_dim"))
-        met = sent.select("part", "q_dim", "q_ids", "q").repartition("part").join(self.table, "part")
+        sent = sent.select("part", "q_dim", "q_ids", "q")
+        tasks = self.spark.sparkContext.defaultParallelism
+        # few shards are small enough for Spark to send them whole; blocks then spread over the cores
+        met = (sent.repartition(2 * tasks) if self.shards < tasks else sent).join(self.table, "part")
         found = met.select("part", "n", "dim", "entry", "ids", "owners", "vectors", "counts", "edges", "q_dim", "q_ids", "q").mapInArrow(work, "query_id bigint, cell_id bigint, owner bigint, score double")
         return top(found, ["query_id"], k).select("query_id", "rank", "cell_id", "owner", "score")
 

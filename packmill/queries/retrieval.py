@@ -254,7 +254,16 @@ def in_degree(spark, d):
 
 @query("R10_graph_search")
 def graph_search(spark, d):
-    """Graphs that are built, kept and read back; half of the cells are wired in afterwards, one by one."""
+    """Graphs that are built, kept and read back."""
+    c = cells(spark, d)
+    path = new_dir(spark, "graphs")
+    ann.Graphs.build(c, path)
+    return _out(ann.Graphs(spark, path).search(as_queries(c), K, skip_self=True))
+
+
+@query("R9_online_insert")
+def online_insert(spark, d):
+    """Graphs of half of the cells, into which the other half is wired one by one."""
     c = cells(spark, d)
     path = new_dir(spark, "graphs")
     ann.Graphs.build(c.filter("cell_id % 2 = 0"), path).insert(c.filter("cell_id % 2 = 1"))

@@ -233,8 +233,9 @@ def test_graphs_are_kept_and_grow(spark, keys):
     ids, x = keys
     s = scaled(x)
     best = {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.argsort(-s[i], kind="stable")[:5]}
-    found = {(q, c) for q, _, c, _ in got(spark, "R10_graph_search")}
-    assert len(best & found) / len(best) >= 0.9
+    for name in ("R10_graph_search", "R9_online_insert"):
+        found = {(q, c) for q, _, c, _ in got(spark, name)}
+        assert len(best & found) / len(best) >= 0.9
     edges, _ = ann.build(x)
     assert sorted(got(spark, "SC14_graph_topology")) == sorted((int(ids[i]), int(ids[j]), r + 1) for i, e in enumerate(edges) for r, j in enumerate(e))
 

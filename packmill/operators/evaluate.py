@@ -28,6 +28,68 @@ def covered(gold: DataFrame, ranked: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "gold_no").agg(F.min(F.when(F.contains("chunk", "gold"), F.col("rank"))).alias("first_rank"))
 
 
+#: Bytes of texts that are looked through at once.
+_CHUNK = 1 << 20
+
+
+def _anchored(sent):
+    """Rows (doc_id, cls, text) to the smallest doc_id of each snippet and class.
+
+    A snippet's first eight bytes are its anchor; texts are compared with all anchors at once, by a table of their hashes.
+    """
+
+    def work(batches):
+        snippets = sent.value
+        short = [n for n, s in enumerate(snippets) if len(s) < 8]
+        by: dict = {}
+        for n, s in enumerate(snippets):
+            if len(s) >= 8:
+                by.setdefault(int.from_bytes(s[:8], "little"), []).append(n)
+        mix, shift, none = np.uint64(0x9E3779B97F4A7C15), np.uint64(44), np.iinfo(np.int64).max
+        marked = np.zeros(1 << 20, bool)
+        marked[(np.array(list(by), np.uint64) * mix) >> shift] = True
+        best: dict = {}
+        for batch in batches:
+            ids, classes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary())
+            start, data = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64), texts.buffers()[2]
+            for c in np.unique(classes).tolist():
+                best.setdefault(c, np.full(len(snippets), none))
+            for i, c, lo, hi in zip(ids.tolist(), classes.tolist(), start, start[1:]) if short else ():
+                for n in short:
+                    if i < best[c][n] and snippets[n] in data[lo:hi].to_pybytes():
+                        best[c][n] = i
+            for lo in range(int(start[0]), int(start[-1]) if by else 0, _CHUNK):
+                hi = min(lo + _CHUNK + 7, int(start[-1]))
+                for o in range(lo, min(lo + 8, hi - 7)):
+                    words = np.frombuffer(data, "<u8", (hi - o) // 8, o)
+                    hit = np.flatnonzero(marked[(words * mix) >> shift])
+                    for at, word in zip((hit * 8 + o).tolist(), words[hit].tolist()):
+                        if word not in by:
+                            continue
+                        doc = int(np.searchsorted(start, at, "right")) - 1
+                        have, i = best[int(classes[doc])], int(ids[doc])
+                        for n in by[word]:
+                            size = len(snippets[n])
+                            if i < have[n] and at + size <= start[doc + 1] and data[at : at + size].to_pybytes() == snippets[n]:
+                                have[n] = i
+        for c, have in best.items():
+            at = np.flatnonzero(have < none)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), c)), pa.array(have[at])], ["snippet", "cls", "doc_id"])
+
+    return work
+
+
+def first_holding(snippets: list[str], docs: DataFrame) -> DataFrame:
+    """(snippet, cls, doc_id): for each snippet, by its place in the list, and each class of documents the smallest doc_id whose text contains it.
+
+    docs (doc_id, cls, text). One pass: workers get the snippets, a stated set, and a task gives a row for each snippet
+    and class at most, so nothing but ids leaves the scan.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast([s.encode() for s in snippets])
+    fine = docs.select(F.col("doc_id").cast("long"), F.col("cls").cast("long"), "text").filter("doc_id is not null and text is not null")
+    return fine.mapInArrow(_anchored(sent), "snippet bigint, cls bigint, doc_id bigint").groupBy("snippet", "cls").agg(F.min("doc_id").alias("doc_id"))
+
+
 def recall_ndcg(queries: DataFrame, hits: DataFrame, ks=KS) -> DataFrame:
     """(query_id, recall_at_k, ndcg_at_k) for every query; NaN for one without gold.
 

@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from packmill.operators import evaluate as E
-from packmill.queries import QUERIES
+from packmill.operators import ann, evaluate as E, retrieval as R
+from packmill.queries import QUERIES, SQL
+from packmill.queries.base import as_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +32,22 @@ def test_snippets_are_found_in_one_pass(spark):
 def test_gold_is_not_met_with_every_text(spark, name):
     """Texts are looked through where they are scanned, so no join or window carries them to each query."""
     assert "contains(" not in plan(QUERIES[name](spark, SF)).lower()
+
+
+def test_search_bounds_its_batches_and_keeps_ties(spark):
+    """Blocks come one at a time however many a task has; among equal scores the smallest ids stay, whatever single precision makes of them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, 64 << 20)
+    x = np.random.default_rng(7).integers(-2, 3, (400, 2, 5)) * 0.3333333
+    x[:50] *= 1000.0
+    cells = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "cell_id bigint, owner bigint, tokens array<array<double>>").repartition(3)
+    for how in ("max", "top_mean", "sum_max"):
+        for same in (False, True, "other"):
+            got = {(r["query_id"], r["rank"]): r["cell_id"] for r in R.search(as_queries(cells), cells, 7, how=how, same_owner=same, skip_self=True, block=100).collect()}
+            dots = np.einsum("qid,cjd->qcij", x, x) / np.sqrt(5)
+            score = {"max": dots.max((2, 3)), "sum_max": dots.max(3).sum(2), "top_mean": dots.mean((2, 3))}[how].round(R.DECIMALS)
+            owner = np.arange(400) % 3
+            ok = (owner[:, None] == owner) == (same is True) if same else np.ones((400, 400), bool)
+            score[~ok | np.eye(400, dtype=bool)] = -np.inf
+            assert got == {(q, r + 1): int(c) for q in range(400) for r, c in enumerate(np.lexsort((np.arange(400), -score[q]))[:7])}, (how, same)
+    assert int(spark.conf.get(name)) <= 4 << 20

@@ -56,3 +56,13 @@ def test_search_bounds_its_batches_and_keeps_ties(spark):
 def test_nominations_are_no_rows(spark):
     """Cells of a group meet as blocks, not by a join of pairs."""
     assert "(g#" not in plan(QUERIES["J9_semi_join_candidates"](spark, SF))
+
+
+@pytest.mark.parametrize("name", "A2_max_sim_pairs A3_top5_pairs DX1_pair_trace DX2_cosine_scores F23_per_head_max_sim J1_query_by_corpus J2_token_pairs U1_union_earliest_stage WN1_first_of_pack WN2_top_k_hof F42_lexical_overlap F43_word_overlap".split())
+def test_pairs_are_scored_in_blocks(spark, name):
+    """No join gives a row for each pair, to be scored number by number."""
+    assert "Join Cross" not in plan(QUERIES[name](spark, SF))
+
+
+def test_whole_ranking_sorts_no_pairs(spark):
+    assert "Window" not in plan(QUERIES["DX14_dense_rank"](spark, SF))

@@ -268,5 +268,47 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     return met.groupBy("query_id", "doc", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).drop("doc")
 
 
+def shared_terms(items: DataFrame, turns: DataFrame) -> DataFrame:
+    """(item_id, conv_id, turn, hits) for all items (item_id, terms) and turns: how many of a turn's `words`, repeats included, are an item's terms; of a turn with a `text`, how many of an item's terms are parts of it.
+
+    The items are a stated set that workers get. A turn's text is gone through once for all of them: what each item has is
+    counted from the terms found, by lists of the items that have a term.
+    """
+    got = items.select("item_id", "terms").toArrow()
+    flat = got["terms"].combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(flat), 0).to_numpy()
+    terms = flat.flatten().dictionary_encode()
+    term, item = terms.indices.to_numpy(), np.repeat(np.arange(len(got)), lengths)
+    order = np.argsort(term, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms.dictionary)))])
+    null = pc.is_null(flat).to_numpy(zero_copy_only=False)
+    sent = turns.sparkSession.sparkContext.broadcast((got["item_id"].combine_chunks(), terms.dictionary.to_pylist(), starts, item[order], null))
+    by_word = turns.columns[-1] == "words"
+
+    def work(batches):
+        ids, words, start, of, empty = sent.value
+        known, step = pa.array(words, pa.string()), max(1, (1 << 18) // max(1, len(ids)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows if len(ids) else 0, step):
+                batch = whole.slice(lo, step)
+                n = batch.num_rows
+                if by_word:
+                    number = pc.index_in(batch.column(2).flatten(), value_set=known)
+                    row = np.repeat(np.arange(n), pc.list_value_length(batch.column(2)).to_numpy())
+                    hit = pc.is_valid(number).to_numpy(zero_copy_only=False)
+                    row, at = row[hit], number.drop_null().to_numpy()
+                else:
+                    found = [[k for k, w in enumerate(words) if w in text] for text in batch.column(2).to_pylist()]
+                    row, at = np.repeat(np.arange(n), [len(f) for f in found]), np.array([k for f in found for k in f], np.int64)
+                size = start[at + 1] - start[at]
+                place = np.arange(size.sum()) + np.repeat(start[at] - np.cumsum(size) + size, size)
+                hits = np.bincount(np.repeat(row, size) * len(ids) + of[place], minlength=n * len(ids))
+                again, each = pa.array(np.tile(np.arange(len(ids)), n)), pa.array(np.repeat(np.arange(n), len(ids)))
+                yield pa.RecordBatch.from_arrays([ids.take(again), batch.column(0).take(each), batch.column(1).take(each), pa.array(hits, pa.int64(), mask=np.tile(empty, n))], ["item_id", "conv_id", "turn", "hits"])
+
+    kinds = [items.schema["item_id"], turns.schema["conv_id"], turns.schema["turn"], T.StructField("hits", T.LongType())]
+    return turns.mapInArrow(work, T.StructType(kinds))
+
+
 def running(df: DataFrame, by: list[str], order: str, value: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -127,7 +127,7 @@ def answer_score(spark, d):
 @query("F42_lexical_overlap", f"WITH q AS (SELECT item_id, {_UNIQUE.format('t')} AS terms FROM (SELECT item_id, {_CONTENT} AS t FROM benchmark)) SELECT item_id, conv_id, turn, len(list_filter(terms, lambda w: contains(lower(text), w))) AS hits FROM q, conversations WHERE {_T}")
 def lexical_overlap(spark, d):
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(X.content_words(F.col("text"))).alias("terms"))
-    return turn_texts(spark, d).crossJoin(F.broadcast(q)).select("item_id", "conv_id", "turn", X.overlap(F.col("terms"), F.col("text")).cast("long").alias("hits"))
+    return E.shared_terms(q, spread(turn_texts(spark, d)).select("conv_id", "turn", F.lower("text").alias("text")))
 
 
 _SPLIT = "regexp_split_to_array(trim(lower({})), '\\s+')"
@@ -135,8 +135,9 @@ _SPLIT = "regexp_split_to_array(trim(lower({})), '\\s+')"
 
 @query("F43_word_overlap", f"WITH q AS (SELECT item_id, {_SPLIT.format('text')} AS ws FROM benchmark), t AS (SELECT conv_id, turn, {_SPLIT.format('text')} AS tw FROM conversations WHERE {_T}) SELECT item_id, conv_id, turn, len(list_filter(tw, lambda w: w <> '' AND list_contains(ws, w))) AS hits FROM q, t")
 def word_overlap(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    return turn_texts(spark, d).crossJoin(F.broadcast(q)).select("item_id", "conv_id", "turn", X.word_overlap(F.col("q"), F.col("text")).cast("long").alias("hits"))
+    words = F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda w: w != "")
+    q = table(spark, d, "benchmark").select("item_id", F.array_distinct(words).alias("terms"))
+    return E.shared_terms(q, spread(turn_texts(spark, d)).select("conv_id", "turn", words.alias("words")))
 
 
 @query("F44_judge_score", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN least(round((event_id % 150) / 100.0::DOUBLE, 6), 1.0) ELSE 0.0 END::DOUBLE AS score FROM events")

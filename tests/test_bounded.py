@@ -79,3 +79,12 @@ def test_a_pack_of_one_vector(spark, tmp_path, name):
     want = con.sql(SQL[name])
     got = QUERIES[name](spark, str(tmp_path)).select(*[c[0] for c in want.description])
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_planned_search_can_be_certain(spark):
+    """The graphs are a start: what comes out is what all pairs give."""
+    x = np.random.default_rng(5).normal(size=(500, 16))
+    cells = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "cell_id bigint, owner bigint, key array<double>")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["cell_id"], r["score"]) for r in df.collect())
+    got = ann.planned(as_queries(cells), cells, 5, active_from=100, certain=True, skip_self=True)
+    assert rows(got) == rows(R.brute_force(as_queries(cells), cells, 5, skip_self=True))

@@ -94,3 +94,9 @@ def test_pruned_graph_takes_vectors_as_bytes(spark):
     """One vector goes with a neighbour, not both as arrays of numbers."""
     p = plan(QUERIES["R9_pruned_graph"](spark, SF))
     assert "FlatMapGroupsInPandas" not in p and "half#" in p
+
+
+def test_candidates_take_no_vectors_along(spark):
+    """Ids of candidates go to blocks of queries; no row of a pair has a vector."""
+    cells = spark.createDataFrame([(i, 0, [[float(i % 13), float(i % 7)]]) for i in range(600)], "cell_id bigint, owner bigint, tokens array<array<double>>")
+    assert "tokens" not in plan(R.two_phase(as_queries(cells), cells, 5, 600, skip_self=True))

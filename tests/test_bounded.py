@@ -106,3 +106,19 @@ def test_candidates_take_no_vectors_along(spark):
 def test_searches_run_once(spark, name):
     """What a query names several times is written first: the search is not in its plan again."""
     assert "MapInArrow" not in plan(QUERIES[name](spark, SF))
+
+
+def test_graphs_are_searched_for_many_queries_at_once():
+    """beams() finds what beam() does or more, in small and empty surroundings too; insertion keeps what can be found."""
+    x = np.random.default_rng(9).normal(size=(700, 12))
+    edges, entry = ann.build(x)
+    best = np.argsort(-(x[:40] @ x.T), axis=1)[:, :8]
+    share = lambda rows: np.mean([len(set(a) & set(b)) / 8 for a, b in zip(best, rows)])
+    rows, dots = ann.beams(x[:40], x, ann.padded(edges), entry, 40)
+    assert np.allclose(dots, np.einsum("qd,qkd->qk", x[:40], x[rows])) and (np.diff(dots, axis=1) <= 0).all()
+    assert share(rows[:, :8]) >= share([ann.beam(q, x, edges, entry, 40)[0][:8] for q in x[:40]]) - 0.01
+    have, wired, start = ann.insert(x[:300], *ann.build(x[:300]), x[300:])
+    assert (have == x).all() and max(map(len, wired)) <= 32 and share(ann.beams(x[:40], have, ann.padded(wired), start, 40)[0][:, :8]) >= 0.95
+    few, wired, start = ann.insert(x[:0], [], 0, x[:3])
+    rows, dots = ann.beams(x[:2], few, ann.padded(wired), start, 10)
+    assert [sorted(r[r >= 0]) for r in rows] == [[0, 1, 2]] * 2 and np.isneginf(dots[rows < 0]).all()
